@@ -5,12 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvizmill.llm.capping import over_cap
+from kvizmill.llm.consensus import consensus_of_three, discover
 from kvizmill.llm.encoding import encode_documents
 from kvizmill.llm.language import identify, mislabelled
 from kvizmill.llm.packing import pack_documents
+from kvizmill.llm.quotas import allocate, draw, question_strata, shortfalls, strata_counts
 from kvizmill.session import load
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus_of_three(load(spark, sf_dir, "question_topics"))
+
+
+def p3_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discover(load(spark, sf_dir, "question_topics"))[0]
+
+
+def p3_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discover(load(spark, sf_dir, "question_topics"))[1]
+
+
+def _strata(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = load(spark, sf_dir, "sample_targets")
+    return question_strata(*(load(spark, sf_dir, t) for t in ("questions", "packs", "question_topics")), targets), targets
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shortfalls(strata_counts(*_strata(spark, sf_dir)))
+
+
+def p6_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return allocate(strata_counts(*_strata(spark, sf_dir)))
+
+
+def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draw(*_strata(spark, sf_dir))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return over_cap(load(spark, sf_dir, "tg_posts"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(load(spark, sf_dir, "documents"))
 
@@ -31,6 +67,13 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_consensus": p3_consensus,
+    "p3_annotators": p3_annotators,
+    "p6_found": p6_found,
+    "p6_quotas": p6_quotas,
+    "p6_sample": p6_sample,
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p10_found": p10_found,
@@ -38,4 +81,22 @@ QUERIES = {
 }
 
 #: DuckDB twins of those that SQL can express.
-SQL: dict[str, str] = {}
+SQL = {
+    "p6_found": """
+        WITH members AS (
+            SELECT DISTINCT t.plan_id, t.stratum_key, q.question_id AS item FROM sample_targets t JOIN question_topics q
+            ON t.dimension = 'subcategory' AND q.subcategory_id = t.subcategory_id
+            UNION
+            SELECT DISTINCT t.plan_id, t.stratum_key, q.id FROM sample_targets t
+            JOIN packs p ON t.dimension = 'difficulty' AND t.low_bound <= p.difficulty AND p.difficulty < t.high_bound
+            JOIN questions q ON q.pack_id = p.id)
+        SELECT t.plan_id, t.stratum_key FROM sample_targets t LEFT JOIN members m USING (plan_id, stratum_key)
+        GROUP BY t.plan_id, t.stratum_key, t.min_rows, t.target_share, t.sample_rows
+        HAVING count(DISTINCT m.item) < greatest(t.min_rows::DOUBLE, t.target_share * t.sample_rows)""",
+    "p7_found": """
+        WITH once AS (SELECT channel_id, post_id, max(views) AS views FROM tg_posts
+                      WHERE channel_id IS NOT NULL AND post_id IS NOT NULL GROUP BY ALL)
+        SELECT channel_id, post_id FROM once
+        QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY views DESC NULLS LAST, post_id)
+                > (SELECT count(*) // 25 FROM once)""",
+}
