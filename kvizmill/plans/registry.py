@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from kvizmill.operators.authors import pooled_authors
+from kvizmill.session import load
+
+
+def p2_found(spark, sf_dir):
+    return pooled_authors(load(spark, sf_dir, "packs"), load(spark, sf_dir, "questions"))
+
+
+QUERIES: dict = {"p2_found": p2_found}
 SQL: dict[str, str] = {}
