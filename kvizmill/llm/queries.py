@@ -9,8 +9,10 @@ from kvizmill.llm.capping import over_cap
 from kvizmill.llm.consensus import consensus_of_three, discover
 from kvizmill.llm.encoding import encode_documents
 from kvizmill.llm.language import identify, mislabelled
+from kvizmill.llm.names import link_names, linked_pairs
 from kvizmill.llm.packing import pack_documents
 from kvizmill.llm.quotas import allocate, draw, question_strata, shortfalls, strata_counts
+from kvizmill.operators.authors import pooled_authors
 from kvizmill.session import load
 
 
@@ -26,6 +28,18 @@ def p3_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover(load(spark, sf_dir, "question_topics"))[1]
 
 
+def _author_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pooled_authors(load(spark, sf_dir, "packs"), load(spark, sf_dir, "questions"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_pairs(_author_names(spark, sf_dir))
+
+
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_names(_author_names(spark, sf_dir))
+
+
 def _strata(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     targets = load(spark, sf_dir, "sample_targets")
     return question_strata(*(load(spark, sf_dir, t) for t in ("questions", "packs", "question_topics")), targets), targets
@@ -70,6 +84,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_consensus": p3_consensus,
     "p3_annotators": p3_annotators,
+    "p5_found": p5_found,
+    "p5_entities": p5_entities,
     "p6_found": p6_found,
     "p6_quotas": p6_quotas,
     "p6_sample": p6_sample,
