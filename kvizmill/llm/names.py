@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from kvizmill.session import cut
 
 #: Least cosine of two keys that are compared further, and length of the n-grams.
-COSINE, GRAM = 0.3, 3
+COSINE, GRAM = 0.3, 2
 #: Least average similarity at which two groups of names are joined.
 LINKAGE = 0.5
 
