@@ -23,7 +23,7 @@ from kvizmill.session import cut
 #: Least cosine of two keys that are compared further, and length of the n-grams.
 COSINE, GRAM = 0.3, 2
 #: Least average similarity at which two groups of names are joined.
-LINKAGE = 0.5
+LINKAGE = 0.45
 
 #: Latin letters that look like Cyrillic ones.
 LOOKALIKES = str.maketrans("aceopxykmtbhiABCEHKMOPTXY", "асеорхукмтвніАВСЕНКМОРТХУ")
@@ -208,10 +208,12 @@ def _cluster(group: pd.DataFrame) -> pd.DataFrame:
             return -1.0
         if a[1] == b[1]:
             return given
-        if not one_edit(a[1], b[1]):
-            return 0.0 if min(len(a[1]), len(b[1])) > 5 else -1.0
         x, y = grams[a[1]], grams[b[1]]
-        return given * max(0.55, len(x & y) / (len(x) * len(y)) ** 0.5) if min(len(a[1]), len(b[1])) > 3 else -1.0
+        shared = len(x & y) / (len(x) * len(y)) ** 0.5
+        if one_edit(a[1], b[1]):
+            return given * max(0.55, shared) if min(len(a[1]), len(b[1])) > 3 else -1.0
+        # Two typos of one word are two edits apart; short words so far apart are others.
+        return given * shared if min(len(a[1]), len(b[1])) > 5 else -1.0
 
     # Sums of similarities between clusters; a pair that can't be the same makes the sum minus infinity.
     sums: dict[int, dict[int, float]] = {i: {} for i in range(n)}
