@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table into the shared folder and read it from there.
+
+    For what several steps read: a table is smaller than a checkpoint and its
+    columns can be read one by one. It stays as long as the folder does.
+    """
+    path = f"{shared_folder(df.sparkSession)}/kvizmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
