@@ -10,12 +10,21 @@ from kvizmill.llm.consensus import consensus_of_three, discover
 from kvizmill.llm.encoding import encode_documents
 from kvizmill.llm.language import identify, mislabelled
 from kvizmill.llm.names import link_names, linked_pairs
+from kvizmill.llm.neardup import near_duplicates, repeated_questions
 from kvizmill.llm.packing import pack_documents
 from kvizmill.llm.quotas import allocate, draw, question_strata, shortfalls, strata_counts
 from kvizmill.operators.authors import pooled_authors
 from kvizmill.session import load
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_questions(load(spark, sf_dir, "questions"))
+
+
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "questions"))[0]
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus_of_three(load(spark, sf_dir, "question_topics"))
 
@@ -81,6 +90,8 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_links": p1_links,
     "p3_found": p3_found,
     "p3_consensus": p3_consensus,
     "p3_annotators": p3_annotators,
