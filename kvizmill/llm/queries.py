@@ -13,6 +13,7 @@ from kvizmill.llm.names import link_names, linked_pairs
 from kvizmill.llm.neardup import near_duplicates, repeated_questions
 from kvizmill.llm.packing import pack_documents
 from kvizmill.llm.quotas import allocate, draw, question_strata, shortfalls, strata_counts
+from kvizmill.llm.subjects import subject_areas
 from kvizmill.operators.authors import pooled_authors
 from kvizmill.session import load
 
@@ -37,6 +38,18 @@ def p3_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover(load(spark, sf_dir, "question_topics"))[1]
 
 
+def p4_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_areas(*(load(spark, sf_dir, t) for t in ("tg_posts", "topic_examples", "categories")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_areas(spark, sf_dir).select("id", "category").distinct()
+
+
+def p4_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_areas(spark, sf_dir).groupBy("category").agg(F.countDistinct("id").alias("posts"), F.avg("confidence").alias("mean_confidence"))
+
+
 def _author_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled_authors(load(spark, sf_dir, "packs"), load(spark, sf_dir, "questions"))
 
@@ -95,6 +108,9 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_consensus": p3_consensus,
     "p3_annotators": p3_annotators,
+    "p4_found": p4_found,
+    "p4_areas": p4_areas,
+    "p4_composition": p4_composition,
     "p5_found": p5_found,
     "p5_entities": p5_entities,
     "p6_found": p6_found,
