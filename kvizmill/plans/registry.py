@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from kvizmill.operators.authors import pooled_authors
-from kvizmill.session import load
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame
 
-def p2_found(spark, sf_dir):
-    return pooled_authors(load(spark, sf_dir, "packs"), load(spark, sf_dir, "questions"))
+from kvizmill.plans.corpus import Corpus
 
-
-QUERIES: dict = {"p2_found": p2_found}
+QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of a ``Corpus`` as a query, with its SQL twin if there is one."""
+
+    def register(f: Callable[[Corpus], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Corpus(spark, sf_dir))
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+from kvizmill.plans import browse, compare, ingest, mining, shares, training  # noqa: E402, F401
