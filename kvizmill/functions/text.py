@@ -47,12 +47,12 @@ def clean_answer(text: Column) -> Column:
     """Square brackets, stress marks, quotes and full stops at the end removed; no-break spaces are spaces."""
     plain = F.regexp_replace(text, r"\[([^\]]*)\]", "$1")
     plain = F.translate(F.replace(plain, F.lit(" "), F.lit(" ")), "́«»\"„“”", "")
-    return F.trim(F.rtrim(F.lit("."), F.trim(plain)))
+    return F.trim(F.rtrim(F.trim(plain), F.lit(".")))
 
 
 def split_answer(text: Column) -> Column:
     """Answers of a numbered list, or of a few short sentences, else the text as one."""
-    tidy = lambda p: F.trim(F.rtrim(F.lit("."), F.trim(p)))
+    tidy = lambda p: F.trim(F.rtrim(F.trim(p), F.lit(".")))
     numbered = F.filter(F.transform(F.split(text, r"\d+\)\s*"), tidy), lambda p: p != "")
     dotted = F.filter(F.transform(F.split(text, r"\. "), lambda p: F.trim(p)), lambda p: p != "")
     short = (F.size(dotted) > 1) & F.forall(dotted, lambda p: F.length(p) < 50) & ~F.regexp_like(text, F.lit(r"^\d"))

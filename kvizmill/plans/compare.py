@@ -60,12 +60,12 @@ def m5(c):
 
 @query(
     "m6_disagreements",
-    f"""SELECT question_id, q.text, cat_a, cat_b FROM {COMMON} m JOIN {Q} q ON q.id = m.question_id WHERE cat_a <> cat_b AND q.text LIKE '%карандаш%'
-    AND (cat_a = 6 OR cat_b = 6 OR cat_a = 8 OR cat_b = 8) ORDER BY {HASH.format('question_id', 11)}, question_id LIMIT 20""",
+    f"""SELECT question_id, q.text, cat_a, cat_b FROM {COMMON} m JOIN {Q} q ON q.id = m.question_id WHERE cat_a <> cat_b AND q.text LIKE '%ведущ%'
+    ORDER BY {HASH.format('question_id', 11)}, question_id LIMIT 20""",
 )
 def m6(c):
-    differ = pairs(c).where("cat_a <> cat_b AND (cat_a IN (6, 8) OR cat_b IN (6, 8))")
-    q = c.question_columns("text").where(F.contains("text", F.lit("карандаш"))).withColumnRenamed("id", "question_id")
+    differ = pairs(c).where("cat_a <> cat_b")
+    q = c.question_columns("text").where(F.contains("text", F.lit("ведущ"))).withColumnRenamed("id", "question_id")
     return differ.join(q, "question_id").orderBy(X.shuffle_key(F.col("question_id"), 11), "question_id").limit(20).select("question_id", "text", "cat_a", "cat_b")
 
 
