@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ALL = Window.partitionBy()  # only over tables of a row per category
+
+def everything():
+    """One window over all rows: only for tables of a row per category."""
+    return Window.partitionBy()
+
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
@@ -24,7 +28,7 @@ def question_counts(rows: DataFrame, *keys: str, name: str = "count") -> DataFra
 
 def with_share(counts: DataFrame, digits: int = 1) -> DataFrame:
     """``pct`` of the sum of all counts."""
-    return counts.withColumn("pct", percent(F.col("count"), F.sum("count").over(ALL), digits))
+    return counts.withColumn("pct", percent(F.col("count"), F.sum("count").over(everything()), digits))
 
 
 def share_of_distinct(rows: DataFrame, counts: DataFrame) -> DataFrame:

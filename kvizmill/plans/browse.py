@@ -9,7 +9,7 @@ from kvizmill.functions import text as X
 from kvizmill.functions.dates import written_date
 from kvizmill.operators import browse as B
 from kvizmill.operators import shares as S
-from kvizmill.operators.authors import author_names
+from kvizmill.operators.authors import author_names, pooled_authors
 from kvizmill.plans.registry import query
 from kvizmill.plans.shares import DATE, LAB, MODEL, P, Q
 
@@ -362,3 +362,8 @@ def w3(c):
     best = best.join(c.dims, "subcategory_id").select(F.col("question_id").alias("id"), "category")
     full = c.question_columns("answer", "pack_id").join(best, "id", "left").join(c.packs.select(F.col("id").alias("pack_id"), "title"), "pack_id", "left")
     return B.fetch_in_order(full, ids).select("id", "pos", "answer", "category", "title")
+
+
+@query("p2_found")
+def p2_found(c):
+    return pooled_authors(c.table("packs"), c.table("questions"))

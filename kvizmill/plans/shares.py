@@ -177,7 +177,7 @@ def a18(c):
     sum(count(DISTINCT question_id)) OVER () AS total FROM {LAB} GROUP BY 1) WHERE 100.0 * count / total < 1.0""",
 )
 def a19(c):
-    counts = S.question_counts(c.labelled(), "subcategory").withColumn("_share", F.lit(100.0) * F.col("count") / F.sum("count").over(S.ALL))
+    counts = S.question_counts(c.labelled(), "subcategory").withColumn("_share", F.lit(100.0) * F.col("count") / F.sum("count").over(S.everything()))
     return counts.where("_share < 1.0").select("subcategory", "count", F.round("_share", 2).alias("pct"))
 
 
@@ -187,7 +187,7 @@ def a19(c):
 )
 def a24(c):
     rows = c.labelled().where(F.col("model_name").contains("72b")).groupBy("category").agg(F.count("*").alias("rows"))
-    return rows.withColumn("pct", F.round(F.lit(100.0) * F.col("rows") / F.sum("rows").over(S.ALL), 6))
+    return rows.withColumn("pct", F.round(F.lit(100.0) * F.col("rows") / F.sum("rows").over(S.everything()), 6))
 
 
 @query(
