@@ -18,6 +18,8 @@ ROUNDS, STEP = 6, 0.05
 Z = -1.959964
 #: Annotators whose shared errors are the same in this part of cases, of at least so many, count as one.
 COPY_SHARE, COPY_CASES = 0.75, 20
+#: Before any truth is known: two annotators that agree so often, and so much more than with any third, count as one.
+TWIN_SHARE, TWIN_LEAD = 0.9, 0.25
 
 
 def main_labels(topics: DataFrame) -> DataFrame:
@@ -48,10 +50,19 @@ def _chi_squared_low(n):
     return F.greatest(n * F.pow(F.greatest(F.lit(1.0) - part + F.lit(Z) * F.sqrt(part), F.lit(0.0)), F.lit(3.0)), F.lit(0.001))
 
 
-def _vote(labels: DataFrame, weights: DataFrame | None) -> DataFrame:
+def _with_party(rows: DataFrame, party: dict[str, str]) -> DataFrame:
+    """``party`` of each row's annotator, itself where it copies nobody."""
+    rows = rows.withColumn("party", F.col("model_name"))
+    if not party:
+        return rows
+    names = rows.sparkSession.createDataFrame(sorted(party.items()), "model_name string, _party string")
+    return rows.join(names, "model_name", "left").withColumn("party", F.coalesce("_party", "party")).drop("_party")
+
+
+def _vote(labels: DataFrame, weights: DataFrame | None, party: dict[str, str] | None = None) -> DataFrame:
     """One row per question: the winning ``truth``, its weight and the runner-up's, shares and counts."""
     weighed = (
-        labels.withColumn("_w", F.lit(1.0)).withColumn("_party", F.col("model_name"))
+        _with_party(labels, party or {}).withColumnRenamed("party", "_party").withColumn("_w", F.lit(1.0))
         if weights is None
         else labels.join(weights.select("model_name", "step", F.col("weight").alias("_w"), F.col("party").alias("_party")), ["model_name", "step"])
     )
@@ -87,40 +98,50 @@ def _weigh(judged: DataFrame, party: dict[str, str]) -> DataFrame:
         judged.groupBy("model_name", "step")
         .agg(F.count("*").alias("labels"), F.sum("wrong").alias("errors"))
         .withColumn("weight", _chi_squared_low(n) / F.greatest(F.col("errors"), F.lit(0.5)))
-        .withColumn("party", F.col("model_name"))
     )
-    if party:
-        names = judged.sparkSession.createDataFrame(sorted(party.items()), "model_name string, _party string")
-        weights = weights.join(names, "model_name", "left").withColumn("party", F.coalesce("_party", "party")).drop("_party")
-    return weights
+    return _with_party(weights, party)
 
 
-def _parties(judged: DataFrame) -> dict[str, str]:
-    """Annotators that copy each other: name -> the party's first name.
+def _meetings(labels: DataFrame) -> DataFrame:
+    """``a, b, both, same``: how often two annotators a < b met at a question, and the share of the same label.
 
-    Pairs of annotators are counted over the questions both got wrong. To the
-    driver come only pairs that share most of their errors.
+    A row of ``labels`` meets the other annotators of its question; what is
+    left is a row for each two annotators.
     """
-    wrong = judged.where("subcategory_id <> truth")
-    a = wrong.select("question_id", F.col("model_name").alias("a"), F.col("subcategory_id").alias("sa"))
-    b = wrong.select("question_id", F.col("model_name").alias("b"), F.col("subcategory_id").alias("sb"))
-    pairs = (
-        a.join(b, "question_id")
-        .where("a < b")
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("both"), F.avg((F.col("sa") == F.col("sb")).cast("double")).alias("same"))
-        .where((F.col("both") >= COPY_CASES) & (F.col("same") >= COPY_SHARE))
-        .orderBy("a", "b")
-        .collect()
-    )
+    a = labels.select("question_id", F.col("model_name").alias("a"), F.col("subcategory_id").alias("sa"))
+    b = labels.select("question_id", F.col("model_name").alias("b"), F.col("subcategory_id").alias("sb"))
+    met = a.join(b, "question_id").where("a < b").groupBy("a", "b")
+    return met.agg(F.count("*").alias("both"), F.avg((F.col("sa") == F.col("sb")).cast("double")).alias("same")).where(F.col("both") >= COPY_CASES)
+
+
+def _joined(pairs: DataFrame) -> dict[str, str]:
+    """Annotator -> first name of its party, for the few pairs that copy each other."""
     party: dict[str, str] = {}
-    for r in pairs:
+    for r in pairs.select("a", "b").orderBy("a", "b").collect():
         one, other = party.get(r.a, r.a), party.get(r.b, r.b)
         first = min(one, other)
         party |= {k: first for k in [r.a, r.b, *(k for k, v in party.items() if v in (one, other))]}
     return party
 
 
+def _twins(labels: DataFrame) -> dict[str, str]:
+    """Parties found without a truth. Left to vote twice, a pair of copies would be the first truth."""
+    met = cut(_meetings(labels))
+    each = met.select(F.col("a").alias("who"), "same").unionByName(met.select(F.col("b").alias("who"), "same"))
+    order = Window.partitionBy("who").orderBy(F.col("same").desc())
+    third = each.withColumn("k", F.row_number().over(order)).where("k = 2").select("who", F.col("same").alias("third"))
+    best = met.where(F.col("same") >= TWIN_SHARE)
+    for side in ("a", "b"):
+        best = best.join(third.withColumnsRenamed({"who": side, "third": f"third_{side}"}), side, "left")
+    lead = F.col("same") - F.greatest(F.coalesce("third_a", F.lit(1.0)), F.coalesce("third_b", F.lit(1.0)))
+    return _joined(best.where(lead >= TWIN_LEAD))
+
+
+def _parties(judged: DataFrame) -> dict[str, str]:
+    """Parties by shared errors: of the questions both got wrong, most have the same wrong label."""
+    return _joined(_meetings(judged.where("subcategory_id <> truth")).where(F.col("same") >= COPY_SHARE))
+
+
 def discover(topics: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(consensus, annotators) of ``question_topics`` rows.
 
@@ -134,12 +155,12 @@ def discover(topics: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
     """
     step = F.floor(F.least(F.col("confidence"), F.lit(1.0)) / F.lit(STEP)).cast("int")
     labels = cut(main_labels(topics).withColumn("step", step).drop("confidence"))
-    truths, weights, judged = cut(_vote(labels, None)), None, None
-    party: dict[str, str] = {}
+    party = _twins(labels)
+    truths, weights = cut(_vote(labels, None, party)), None
     for k in range(rounds):
         judged = _judged(labels, truths, weights)
         if k == 2:
-            party = _parties(judged)
+            party = party | _parties(judged)
         fresh = _weigh(judged, party)
         # A step that no other annotator has judged has the weight of a coin.
         weights = cut(

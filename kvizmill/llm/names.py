@@ -58,7 +58,7 @@ GIVEN_NAMES = {
 KINDS = ("клуб", "команда", "лига", "школа", "редакция", "группа", "студия", "кружок", "союз", "центр", "издательство", "общество", "сборная")
 
 _PATRONYMIC = re.compile("(?:ович|евич|ичн?а?|овна|евна)$")
-_FOLD = str.maketrans({"ё": "е", "э": "е", "й": "и", "ы": "и", "ь": None, "ъ": None, "і": "и"})
+_FOLD = str.maketrans({"ё": "е", "э": "е", "й": "и", "ы": "и", "ь": None, "ъ": None, "і": "и", "ц": "тс", "щ": "шч"})
 
 
 def fold(word: str) -> str:
