@@ -169,12 +169,18 @@ def discover(topics: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
             .withColumn("party", F.coalesce("party", "model_name"))
         )
         truths = cut(_vote(labels, weights))
-    annotators = weights.groupBy("model_name").agg(
-        F.sum("labels").alias("labels"),
-        F.sum("errors").alias("errors"),
-        (F.lit(1.0) - F.sum("errors") / F.nullif(F.sum("labels").cast("double"), F.lit(0.0))).alias("reliability"),
-        (F.sum(F.col("weight") * F.col("labels")) / F.nullif(F.sum("labels").cast("double"), F.lit(0.0))).alias("weight"),
-        F.min("party").alias("party"),
+    held = labels.join(truths.where("parties > 1").select("question_id", "truth"), "question_id", "left")
+    said = held.groupBy("model_name").agg(
+        F.count("truth").alias("labels"),
+        F.coalesce(F.sum((F.col("subcategory_id") != F.col("truth")).cast("double")), F.lit(0.0)).alias("errors"),
+    )
+    mean = F.sum(F.col("weight") * F.greatest("labels", F.lit(1))) / F.sum(F.greatest("labels", F.lit(1)))
+    annotators = (
+        weights.groupBy("model_name")
+        .agg(mean.alias("weight"), F.min("party").alias("party"))
+        .join(said, "model_name")
+        .withColumn("reliability", F.lit(1.0) - F.col("errors") / F.nullif(F.col("labels").cast("double"), F.lit(0.0)))
+        .select("model_name", "labels", "errors", "reliability", "weight", "party")
     )
     kept = truths.select("question_id", F.col("truth").alias("subcategory_id"), "annotators", "agreement", "support")
     return kept, annotators
