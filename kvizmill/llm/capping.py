@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvizmill.session import cut
 
-#: Partitions of the global sort; the counts by contributor and partition that reach the driver grow with it.
+#: Least number of partitions of the global sort; more where the session shuffles into more.
 RANGES = 64
 
 
-def positions(records: DataFrame, contributor: str, order: list[Column], ranges: int = RANGES) -> DataFrame:
+def positions(records: DataFrame, contributor: str, order: list[Column], ranges: int | None = None) -> DataFrame:
     """``records`` with ``position``: place within its contributor, from 1, in the given order.
 
     A global range sort by contributor and order, exact places from prefix sums
     of partition sizes, less the place at which the contributor starts. A
     contributor with a third of all rows spreads over a third of the
-    partitions; no window ever holds it. ``order`` has to be total.
+    partitions; no window or join ever holds it, as starts are joined by
+    partition and contributor. ``order`` has to be total.
     """
     spark = records.sparkSession
+    ranges = ranges or max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.col(contributor).asc_nulls_first(), *order]
     # The sort is written once: ranges are sampled, so that computing it again could move their borders.
     ordered = cut(
@@ -34,14 +36,13 @@ def positions(records: DataFrame, contributor: str, order: list[Column], ranges:
     for k in sorted(sizes):
         starts.append((k, before))
         before += sizes[k]
-    start = spark.createDataFrame(starts or [(0, 0)], "_range int, _before long")
-    placed = ordered.join(F.broadcast(start), "_range").withColumn("_place", F.col("_before") + F.col("_nth"))
-    first = placed.groupBy(contributor).agg(F.min("_place").alias("_first")).withColumnRenamed(contributor, "_who")
-    return (
-        placed.join(first, F.col(contributor).eqNullSafe(F.col("_who")))
-        .withColumn("position", F.col("_place") - F.col("_first") + 1)
-        .drop("_at", "_range", "_nth", "_before", "_place", "_first", "_who")
-    )
+    start = F.broadcast(spark.createDataFrame(starts or [(0, 0)], "_range int, _before long"))  # a row per partition
+    runs = ordered.groupBy("_range", F.col(contributor).alias("_who")).agg(F.min("_nth").alias("_least")).join(start, "_range")
+    first = F.min(F.col("_before") + F.col("_least")).over(Window.partitionBy("_who"))
+    runs = runs.select(F.col("_range").alias("_of"), "_who", "_before", first.alias("_first"))
+    here = (F.col("_range") == F.col("_of")) & F.col(contributor).eqNullSafe(F.col("_who"))
+    placed = ordered.join(runs, here).withColumn("position", F.col("_before") + F.col("_nth") - F.col("_first") + 1)
+    return placed.drop("_at", "_range", "_nth", "_of", "_who", "_before", "_first")
 
 
 def over_cap(posts: DataFrame, parts: int = 25) -> DataFrame:

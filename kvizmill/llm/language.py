@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvizmill.llm.sampling import bounded_sample
+
 #: The languages told apart.
 LANGUAGES = ("ru", "uk", "en", "de", "fr", "es")
 
@@ -216,13 +218,9 @@ def fit(texts: list[str], labels: list[str]) -> np.ndarray:
 def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> DataFrame:
     """The bounded sample the classifier is fitted on: labelled documents, by hash of the id."""
     code = label_code(F.col("lang"))
-    return (
-        docs.select("doc_id", "text", code.alias("code"))
-        .where(F.col("code").isin(*LANGUAGES) & F.length("text").between(20, chars))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-        .select("text", "code")
-    )
+    labelled = docs.select("doc_id", "text", code.alias("code")).where(F.col("code").isin(*LANGUAGES))
+    fit_for = labelled.where(F.length("text").between(20, chars))
+    return bounded_sample(fit_for, "doc_id", rows, labelled.count()).select("text", "code")
 
 
 def _judge(score: np.ndarray, size: np.ndarray):

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvizmill.llm.names import LOOKALIKES, one_edit
+from kvizmill.llm.sampling import bounded_sample
 
 #: Rules are mined from at most so many labelled posts.
 TRAIN_ROWS = 20_000
@@ -235,7 +236,8 @@ def fit(posts: DataFrame, examples: DataFrame, categories: DataFrame, rows: int
     areas = {str(s).strip().lower(): r["name"] for r in categories.select("name", "name_ru").collect() for s in (r["name"], r["name_ru"]) if s and r["name"]}
     classes = [*sorted(set(areas.values())), NONE]
     label = area_of_label(F.col("category"), areas).alias("label")
-    sample = posts.select("id", "text", label).where("label IS NOT NULL AND text IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(rows)
+    labelled = posts.select("id", "text", label).where("label IS NOT NULL")
+    sample = bounded_sample(labelled.where("text IS NOT NULL"), "id", rows, labelled.count())
     taught = sample.select("text", "label", F.lit(1).cast("long").alias("n")).unionByName(
         examples.select("text", label, F.lit(3).cast("long").alias("n")).where("label IS NOT NULL")
     ).repartition(SHARDS, F.xxhash64("text")).cache()
