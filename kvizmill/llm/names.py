@@ -94,6 +94,25 @@ def _given() -> dict[str, tuple[str, ...]]:
     return {k: tuple(sorted(v)) for k, v in names.items()}
 
 
+@functools.cache
+def _begin_with_e() -> frozenset[str]:
+    """Folded given names whose first letter is Э, which folding makes Е."""
+    return frozenset(fold(n) for n in GIVEN_NAMES if n[0] == "Э")
+
+
+def _initial(word: str) -> str:
+    """A folded initial; of the Cyrillic ones, Э and Е are kept apart as "э" and "е-"."""
+    return {"Э": "э", "э": "э", "Е": "е-", "е": "е-"}.get(word) or fold(word)
+
+
+def _begins(name: str, start: str) -> bool:
+    if start == "э":
+        return name in _begin_with_e()
+    if start == "е-":
+        return name[:1] == "е" and name not in _begin_with_e()
+    return name.startswith(start)
+
+
 @functools.lru_cache(100_000)
 def given_name(word: str) -> tuple[str, ...]:
     """Full given names that a folded word may stand for, allowing one typo."""
@@ -123,10 +142,12 @@ def parse(name: str) -> tuple[str, str, str, list[str]]:
             return "o", key, "full", [fold(kind)]
         return "o", key, "init" if len(first) == 1 else "abbr", [first]
     surname, comma, rest = plain.partition(",")
-    tokens = [(fold(w), dot == ".") for w, dot in re.findall(r"([^\W\d_]+(?:['’-][^\W\d_]+)*)\s?(\.?)", plain)]
+    found = re.findall(r"([^\W\d_]+(?:['’-][^\W\d_]+)*)\s?(\.?)", plain)
+    tokens = [(_initial(w) if len(w) == 1 else fold(w), dot == ".") for w, dot in found]
     tokens = [(w, dot) for w, dot in tokens if w]
-    full = [w for w, dot in tokens if not dot and len(w) > 1]
-    short = [w for w, dot in tokens if dot or len(w) == 1]
+    single = {_initial(w) for w, _ in found if len(w) == 1}
+    full = [w for w, dot in tokens if not dot and w not in single]
+    short = [w for w, dot in tokens if dot or w in single]
     if not tokens:
         return "p", fold(name), "none", []
     if comma and rest.strip():
@@ -155,7 +176,7 @@ def parse(name: str) -> tuple[str, str, str, list[str]]:
     if full:
         return "p", key, "full", list(given_name(full[0])) or [full[0]]
     if short:
-        return "p", key, "init" if len(short[0]) == 1 else "abbr", [short[0]]
+        return "p", key, "init" if short[0] in single else "abbr", [short[0]]
     return "p", key, "none", []
 
 
@@ -173,12 +194,19 @@ def _compatible(a: tuple, b: tuple) -> float:
     if a[0] == "none" or b[0] == "none":
         return 0.6
     if a[0] == "full" and b[0] == "full":
-        return 1.0 if set(a[1]) & set(b[1]) else 0.95 if len(a[1]) == len(b[1]) == 1 and min(map(len, (*a[1], *b[1]))) > 3 and one_edit(a[1][0], b[1][0]) else 0.0
+        if set(a[1]) & set(b[1]):
+            return 1.0
+        unlisted = len(a[1]) == len(b[1]) == 1 and min(len(a[1][0]), len(b[1][0])) > 3
+        return 0.95 if unlisted and one_edit(a[1][0], b[1][0]) else 0.0
     if a[0] == "full":
         a, b = b, a
     if b[0] == "full":
-        return 0.9 if any(n.startswith(a[1][0]) for n in b[1]) else 0.0
-    return 0.9 if a[1][0].startswith(b[1][0]) or b[1][0].startswith(a[1][0]) else 0.0
+        return 0.9 if any(_begins(n, a[1][0]) for n in b[1]) else 0.0
+    one, other = a[1][0], b[1][0]
+    if {one, other} == {"э", "е-"}:
+        return 0.0
+    one, other = (w.rstrip("-").replace("э", "е") for w in (one, other))
+    return 0.9 if one.startswith(other) or other.startswith(one) else 0.0
 
 
 def _grams(word: str) -> set[str]:

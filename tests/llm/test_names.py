@@ -38,6 +38,8 @@ PEOPLE = [
     ["Григорий Толвекский", "Г.Толвекский", "Гриша Толвекский", "Толвекский Григорий Максимович"],
     ["Галина Толвекская", "Галя Толвекская"],
     ["Борис Ким"],
+    ["Эдуард Рехрехаев", "Э. Рехрехаев", "Eduard Rekhrekhaev"],
+    ["Евгений Рехрехаев", "Е. Рехрехаев", "Женя Рехрехаев"],
 ]
 
 
