@@ -71,11 +71,19 @@ def tour_numbers(questions: DataFrame) -> DataFrame:
     return questions.withColumn("_r", reset).withColumn("tour", 1 + F.sum("_r").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_r")
 
 
-def gap_runs(ids: DataFrame) -> DataFrame:
-    """``first_missing, missing``: runs of missing ids between known ones."""
-    order = Window.orderBy("id")
+def gap_runs(ids: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """``first_missing, missing``: runs of missing ids between known ones.
+
+    The next id is looked for within spans of ids; only the first and last id
+    of each span meet those of the spans around it, so no task orders all ids.
+    """
+    known = ids.where("id IS NOT NULL").select("id").distinct().withColumn("_s", F.floor(F.col("id") / span))
+    inside = known.withColumn("_next", F.lead("id").over(Window.partitionBy("_s").orderBy("id"))).select("id", "_next")
+    ends = known.groupBy("_s").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+    across = ends.select(F.col("_high").alias("id"), F.lead("_low").over(Window.orderBy("_s")).alias("_next"))  # a row per span
     return (
-        ids.select("id").distinct().withColumn("_next", F.lead("id").over(order)).where(F.col("_next") > F.col("id") + 1)
+        inside.unionByName(across)
+        .where(F.col("_next") > F.col("id") + 1)
         .select((F.col("id") + 1).alias("first_missing"), (F.col("_next") - F.col("id") - 1).alias("missing"))
     )
 

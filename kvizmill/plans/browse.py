@@ -193,19 +193,19 @@ def s2(c):
     return B.anti(span, c.table("packs"), "id")
 
 
+TOKENS = "list_distinct(regexp_extract_all(lower({0}), '[а-яёa-z0-9]+'))"
+
+
 @query(
     "s3_word_overlap",
-    f"""WITH w AS (SELECT id, pack_id, list_distinct(regexp_extract_all(lower(answer), '[а-яёa-z0-9]+')) AS t FROM {Q} WHERE pack_id < 140)
-    SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 4) AS jaccard
-    FROM w a JOIN w b ON a.pack_id = b.pack_id AND a.id < b.id WHERE len(list_intersect(a.t, b.t)) > 0""",
+    f"""SELECT id, round(len(list_intersect({TOKENS.format('answer')}, {TOKENS.format('zachet')})) / nullif(len(list_distinct(list_concat({TOKENS.format('answer')}, {TOKENS.format('zachet')}))), 0), 4) AS jaccard
+    FROM {Q} WHERE answer IS NOT NULL AND zachet IS NOT NULL""",
 )
 def s3(c):
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("answer"), F.lit("([а-яёa-z0-9]+)"), F.lit(1)))
-    w = c.question_columns("pack_id", "answer").where("pack_id < 140").select("id", "pack_id", tokens.alias("t"))
-    a, b = w.select("pack_id", F.col("id").alias("a"), F.col("t").alias("x")), w.select("pack_id", F.col("id").alias("b"), F.col("t").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    pairs = a.join(b, "pack_id").where("a < b").where(both > 0)
-    return pairs.select("a", "b", F.round(both / F.size(F.array_union("x", "y")), 4).alias("jaccard"))
+    """How far the answer and what else is accepted share their words."""
+    tokens = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("([а-яёa-z0-9]+)"), F.lit(1)))
+    both = c.question_columns("answer", "zachet").where("answer IS NOT NULL AND zachet IS NOT NULL").select("id", tokens("answer").alias("x"), tokens("zachet").alias("y"))
+    return both.select("id", F.round(F.try_divide(F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))), 4).alias("jaccard"))
 
 
 @query(

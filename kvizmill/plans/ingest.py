@@ -36,14 +36,14 @@ def u3(c):
 
 @query(
     "u3_topics_inserted",
-    """WITH k AS (SELECT DISTINCT question_id, subcategory_id, method, model_name FROM question_topics WHERE id % 2 = 0)
-    SELECT t.question_id, t.subcategory_id, t.method, t.model_name, min(t.id) AS id FROM question_topics t WHERE t.id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM k WHERE k.question_id = t.question_id
+    """WITH k AS (SELECT DISTINCT question_id, subcategory_id, method, model_name FROM question_topics WHERE classified_at < TIMESTAMP '2023-03-01')
+    SELECT t.question_id, t.subcategory_id, t.method, t.model_name, min(t.id) AS id FROM question_topics t WHERE t.classified_at >= TIMESTAMP '2023-03-01' AND NOT EXISTS (SELECT 1 FROM k WHERE k.question_id = t.question_id
     AND k.subcategory_id = t.subcategory_id AND k.method = t.method AND k.model_name IS NOT DISTINCT FROM t.model_name) GROUP BY ALL""",
 )
 def u3_inserted(c):
     keys = ["question_id", "subcategory_id", "method", "model_name"]
-    t = c.topics.select(*keys, "id")
-    return I.insert_ignore(t.where("id % 2 = 0"), t.where("id % 2 = 1"), keys, "id")
+    before = F.col("classified_at") < F.lit("2023-03-01").cast("timestamp_ntz")
+    return I.insert_ignore(c.topics.where(before).select(*keys, "id"), c.topics.where(~before).select(*keys, "id"), keys, "id")
 
 
 @query("u4_categories_set", "SELECT id, CASE WHEN category IS NULL OR trim(category) = '' THEN 'none' ELSE lower(trim(category)) END AS category, is_useful AND coalesce(views, 0) > 0 AS is_useful FROM tg_posts")
@@ -52,18 +52,19 @@ def u4(c):
     return c.posts.select("id", F.when(empty, "none").otherwise(F.lower(F.trim("category"))).alias("category"), (F.col("is_useful") & (F.coalesce("views", F.lit(0)) > 0)).alias("is_useful"))
 
 
-@query("u5_labels_deleted", "SELECT id FROM question_topics WHERE NOT (coalesce(model_name, '') = 'noise_probe' AND question_id IN (SELECT id FROM questions WHERE pack_id < 200))")
+@query("u5_labels_deleted", "SELECT id FROM question_topics WHERE NOT (coalesce(model_name, '') = 'noise_probe' AND question_id IN (SELECT q.id FROM questions q JOIN packs p ON p.id = q.pack_id WHERE p.parse_status = 'failed'))")
 def u5(c):
-    q = c.table("questions").where("pack_id < 200").select(F.col("id").alias("question_id")).distinct()
+    failed = c.table("packs").where("parse_status = 'failed'").select(F.col("id").alias("pack_id"))
+    q = c.table("questions").join(failed, "pack_id", "left_semi").select(F.col("id").alias("question_id")).distinct()
     gone = c.topics.where("model_name = 'noise_probe'").join(q, "question_id", "left_semi")
     return I.delete_matching(c.topics.select("id"), gone, "id")
 
 
 @query("u7_import_without_copies", f"""SELECT count(*) AS rows, count(DISTINCT id) AS ids, min(id) AS first, max(id) AS last FROM (SELECT 1000000 - 1 + row_number() OVER () AS id FROM
- (SELECT DISTINCT lower(trim(answer)) AS k FROM {Q} WHERE pack_id % 2 = 1) n WHERE k IS NOT NULL AND k NOT IN (SELECT lower(trim(answer)) FROM {Q} WHERE pack_id % 2 = 0 AND answer IS NOT NULL))""")
+ (SELECT DISTINCT lower(trim(answer)) AS k FROM {Q} WHERE source IS NULL) n WHERE k IS NOT NULL AND k NOT IN (SELECT lower(trim(answer)) FROM {Q} WHERE source IS NOT NULL AND answer IS NOT NULL))""")
 def u7(c):
-    q = c.question_columns("pack_id", "answer").where("answer IS NOT NULL").withColumn("k", F.lower(F.trim("answer")))
-    new = I.import_copies_free(q.where("pack_id % 2 = 0").select("id", "k"), q.where("pack_id % 2 = 1").select("k"), "k", 1_000_000)
+    q = c.question_columns("source", "answer").where("answer IS NOT NULL").withColumn("k", F.lower(F.trim("answer")))
+    new = I.import_copies_free(q.where("source IS NOT NULL").select("id", "k"), q.where("source IS NULL").select("k"), "k", 1_000_000)
     return new.agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
@@ -126,7 +127,6 @@ def a47(c):
     return I.mask_difficulty(masks)
 
 
-@query("x14_view_counts", "SELECT id, coalesce(views, 0) AS views FROM tg_posts WHERE views < 1000 AND views >= 0 OR views IS NULL")
+@query("x14_view_counts", "SELECT id, greatest(coalesce(views, 0), 0) AS views FROM tg_posts")
 def x14(c):
-    small = c.posts.where("views BETWEEN 0 AND 999 OR views IS NULL")
-    return small.select("id", X.view_count(F.col("views").cast("string")).alias("views"))
+    return c.posts.select("id", X.view_count(F.col("views").cast("string")).alias("views"))

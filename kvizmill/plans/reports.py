@@ -85,10 +85,10 @@ def x30(c):
     return ids.join(known, "id", "left").select("id", F.coalesce("label", F.format_string("?(%d)", "id")).alias("label"))
 
 
-@query("x25_replies_parsed", f"SELECT question_id, cat, conf FROM (SELECT question_id, c.id AS cat, round(coalesce(confidence, 0.5), 2) AS conf FROM {LAB} WHERE model_name = '{MODEL}' AND qt.id % 5 = 0)")
+@query("x25_replies_parsed", f"SELECT question_id, cat, conf FROM (SELECT question_id, c.id AS cat, round(coalesce(confidence, 0.5), 2) AS conf FROM {LAB} WHERE model_name = '{MODEL}')")
 def x25(c):
     """Labels written as a model would reply, in a fence, and read back."""
-    rows = c.labelled(MODEL).where("id % 5 = 0")
+    rows = c.labelled(MODEL)
     topic = F.to_json(F.struct(F.array(F.struct(F.col("category_id").alias("cat"), F.lit("1").alias("sub"), F.col("confidence").alias("conf"))).alias("topics")))
     replies = rows.select("question_id", F.concat(F.lit("```json\n"), topic, F.lit("\n```")).alias("reply"))
     return replies.select("question_id", F.explode(R.topics(F.col("reply"))).alias("t")).select("question_id", "t.cat", "t.conf")

@@ -59,7 +59,9 @@ def test_masks(spark, rows):
 
 
 def test_gaps(spark, rows):
-    assert rows(ingest.gap_runs(spark.createDataFrame([(1,), (2,), (5,), (9,)], "id long"))) == [(3, 2), (6, 3)]
+    ids = spark.createDataFrame([(1,), (2,), (5,), (9,), (None,)], "id long")
+    for span in (1 << 16, 4, 1):
+        assert rows(ingest.gap_runs(ids, span)) == [(3, 2), (6, 3)]
 
 
 def test_share_delta_and_skills(spark, rows):
