@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from kvizmill.session import cut
 
-ROUNDS, STEP = 6, 0.05
+#: Rounds at most, and the mean change of weights from which it is enough.
+ROUNDS, STILL = 8, 0.01
+#: Width of a step of confidence.
+STEP = 0.05
 #: Standard normal quantile of half the risk (0.05) of the interval.
 Z = -1.959964
 #: Annotators whose shared errors are the same in this part of cases, of at least so many, count as one.
@@ -142,6 +145,14 @@ def _parties(judged: DataFrame) -> dict[str, str]:
     return _joined(_meetings(judged.where("subcategory_id <> truth")).where(F.col("same") >= COPY_SHARE))
 
 
+def _moved(before: DataFrame, after: DataFrame) -> float:
+    """Mean relative change of the weights, by labels."""
+    old = before.select("model_name", "step", F.col("weight").alias("_w"))
+    both = after.join(old, ["model_name", "step"])
+    change = F.sum(F.col("labels") * F.abs(F.col("weight") - F.col("_w"))) / F.sum(F.col("labels") * F.col("_w"))
+    return both.agg(change.alias("c")).first().c or 0.0
+
+
 def discover(topics: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(consensus, annotators) of ``question_topics`` rows.
 
@@ -155,20 +166,19 @@ def discover(topics: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
     """
     step = F.floor(F.least(F.col("confidence"), F.lit(1.0)) / F.lit(STEP)).cast("int")
     labels = cut(main_labels(topics).withColumn("step", step).drop("confidence"))
+    sources = cut(labels.select("model_name", "step").distinct())
     party = _twins(labels)
     truths, weights = cut(_vote(labels, None, party)), None
     for k in range(rounds):
         judged = _judged(labels, truths, weights)
-        if k == 2:
+        if k == 1:
             party = party | _parties(judged)
-        fresh = _weigh(judged, party)
         # A step that no other annotator has judged has the weight of a coin.
-        weights = cut(
-            labels.select("model_name", "step").distinct().join(fresh, ["model_name", "step"], "left")
-            .fillna({"labels": 0, "errors": 0.0, "weight": 1.0})
-            .withColumn("party", F.coalesce("party", "model_name"))
-        )
+        fresh = sources.join(_weigh(judged, party), ["model_name", "step"], "left").fillna({"labels": 0, "errors": 0.0, "weight": 1.0})
+        before, weights = weights, cut(fresh.withColumn("party", F.coalesce("party", "model_name")))
         truths = cut(_vote(labels, weights))
+        if k > 1 and _moved(before, weights) < STILL:
+            break
     held = labels.join(truths.where("parties > 1").select("question_id", "truth"), "question_id", "left")
     said = held.groupBy("model_name").agg(
         F.count("truth").alias("labels"),
