@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from kvizmill.llm.encoding import document_sizes
 from kvizmill.session import cut
 
-#: Sizes are told apart in at most so many bins, rounded up; a container is full within SLACK bins.
-BINS, SLACK, STEPS = 1024, 1, 150
+#: Sizes are told apart in at most so many bins, rounded up.
+BINS = 4096
+#: Up to so many bins, a container counts as full with one bin free and more steps are taken: combinations are few.
+SMALL_WINDOW, STEPS, STEPS_SMALL = 1024, 60, 150
 #: Parts into which the items of one size are split to be ranked.
 SALTS = 64
 
@@ -33,10 +35,10 @@ def bin_width(capacity: int) -> int:
 
 
 def _combinations(counts: np.ndarray, window: int) -> np.ndarray:
-    """All multisets of up to three occupied bins that fill the window within SLACK; 0 pads."""
+    """All multisets of up to three occupied bins that fill the window (a small one within a bin); 0 pads."""
     sizes = np.flatnonzero(counts)
     out = []
-    for total in range(window, window - SLACK - 1, -1):
+    for total in range(window, window - 1 - (window <= SMALL_WINDOW), -1):
         if 0 < total < len(counts) and counts[total]:
             out.append([[0, 0, total]])
         pairs = sizes[sizes * 2 <= total]
@@ -83,7 +85,7 @@ def _least_squares(combos: np.ndarray, counts: np.ndarray) -> np.ndarray:
     step = 1 / max(norm * 1.05, 1e-12)
     x = y = np.zeros(len(combos))
     t = 1.0
-    for _ in range(STEPS):
+    for _ in range(STEPS_SMALL if len(counts) <= SMALL_WINDOW + 1 else STEPS):
         new = np.maximum(0, y - step * back(apply(y) - goal))
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         y = new + (before - 1) / t * (new - x)
