@@ -30,7 +30,7 @@ def read_markdown_questions(spark: SparkSession, path: str) -> DataFrame:
         "path",
         F.regexp_extract("block", head, 1).cast("int").alias("number"),
         F.regexp_extract("block", head, 2).try_cast("long").alias("id"),
-        F.trim(F.regexp_replace("block", head, "")).alias("body"),
+        F.regexp_replace(F.regexp_replace("block", head, ""), r"^\s+|\s+$", "").alias("body"),
     )
 
 
