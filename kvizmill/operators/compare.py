@@ -5,18 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvizmill.operators.shares import percent, primary_topics
+from kvizmill.operators.shares import percent
 
 
 def common_questions(topics: DataFrame, dims: DataFrame, a: str, b: str) -> DataFrame:
     """``question_id, cat_a, cat_b, conf_a, conf_b``: primary topics of the questions that both models labelled.
 
-    The bridge is read and ranked once for both models.
+    One scan and one shuffle: each question keeps the greatest (confidence,
+    -subcategory, -id) of either model. Null confidences are least.
     """
-    best = primary_topics(topics.where(F.col("model_name").isin(a, b)), "question_id", "model_name").join(dims, "subcategory_id")
-    one = best.where(F.col("model_name") == a).select("question_id", F.col("category_id").alias("cat_a"), F.col("confidence").alias("conf_a"))
-    two = best.where(F.col("model_name") == b).select("question_id", F.col("category_id").alias("cat_b"), F.col("confidence").alias("conf_b"))
-    return one.join(two, "question_id")
+    rank = F.struct("confidence", (-F.col("subcategory_id")).alias("s"), (-F.col("id")).alias("i"))
+    best = (
+        topics.where(F.col("model_name").isin(a, b))
+        .groupBy("question_id")
+        .agg(F.max(F.when(F.col("model_name") == a, rank)).alias("x"), F.max(F.when(F.col("model_name") == b, rank)).alias("y"))
+        .where("x IS NOT NULL AND y IS NOT NULL")
+    )
+    of = dims.select("subcategory_id", "category_id")
+    one, two = of.withColumnsRenamed({"subcategory_id": "_a", "category_id": "cat_a"}), of.withColumnsRenamed({"subcategory_id": "_b", "category_id": "cat_b"})
+    return (
+        best.withColumn("_a", -F.col("x.s"))
+        .withColumn("_b", -F.col("y.s"))
+        .join(F.broadcast(one), "_a")
+        .join(F.broadcast(two), "_b")
+        .select("question_id", "cat_a", "cat_b", F.col("x.confidence").alias("conf_a"), F.col("y.confidence").alias("conf_b"))
+    )
 
 
 def agreement_matrix(pairs: DataFrame) -> DataFrame:

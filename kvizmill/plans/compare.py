@@ -80,6 +80,13 @@ def judged(c, model):
     return rows.withColumn("k", F.row_number().over(order)).join(gold, "question_id")
 
 
+def hits(c, *models):
+    """Whether any label of each model is the gold one, per question; one scan for all models."""
+    gold = S.primary_topics(c.topics.where("model_name = 'editor_desk'"), "question_id").join(c.dims, "subcategory_id").select("question_id", F.col("category").alias("gold"))
+    rows = c.labelled().where(F.col("model_name").isin(*models)).join(gold, "question_id")
+    return rows.groupBy("model_name", "question_id", "gold").agg(F.bool_or(F.col("category") == F.col("gold")).alias("ok"))
+
+
 @query(
     "m8_accuracy",
     f"""WITH g AS (SELECT question_id, category AS gold FROM {GOLD}), h AS (SELECT qt.model_name, g.question_id, g.gold, bool_or(c.name = g.gold) AS ok
@@ -87,8 +94,7 @@ def judged(c, model):
     SELECT model_name, gold, count(*) AS n, count(*) FILTER (ok) AS right FROM h GROUP BY ALL""",
 )
 def m8(c):
-    rows = [judged(c, m).groupBy("question_id", "gold").agg(F.bool_or(F.col("category") == F.col("gold")).alias("ok")).withColumn("model_name", F.lit(m)) for m in (A, B, "finch-3b")]
-    out = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    out = hits(c, A, B, "finch-3b")
     return out.groupBy("model_name", "gold").agg(F.count("*").alias("n"), F.count_if("ok").alias("right"))
 
 
@@ -98,8 +104,10 @@ def m8(c):
     SELECT question_id FROM h WHERE model_name = '{A}' AND ok AND question_id IN (SELECT question_id FROM h WHERE model_name = 'finch-3b' AND NOT ok)""",
 )
 def m8_sets(c):
-    ok = lambda m: judged(c, m).groupBy("question_id").agg(F.bool_or(F.col("category") == F.col("gold")).alias("ok"))
-    return ok(A).where("ok").join(ok("finch-3b").where("NOT ok"), "question_id", "left_semi").select("question_id")
+    both = hits(c, A, "finch-3b").groupBy("question_id").agg(
+        F.bool_or((F.col("model_name") == A) & F.col("ok")).alias("a"), F.bool_or((F.col("model_name") == "finch-3b") & ~F.col("ok")).alias("b")
+    )
+    return both.where("a AND b").select("question_id")
 
 
 @query(
