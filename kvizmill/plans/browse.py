@@ -173,7 +173,7 @@ def pack_sizes(c):
 
 @query(
     "l10_title_search",
-    f"""SELECT id, title, CASE WHEN lower(title) = 'кубок' THEN 0 WHEN strpos(lower(title), 'кубок') = 1 THEN 1 ELSE 2 END AS rank, strpos(lower(title), 'кубок') AS "at", questions
+    f"""SELECT id, title, CASE WHEN lower(title) = 'кубок' THEN 0 WHEN strpos(lower(title), 'кубок') = 1 THEN 1 ELSE 2 END AS rank, strpos(lower(title), 'кубок')::INT AS "at", questions
     FROM {SIZES} WHERE strpos(lower(title), 'кубок') > 0 ORDER BY 3, 4, questions DESC, title, id LIMIT 20""",
 )
 def l10(c):

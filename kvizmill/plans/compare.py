@@ -142,7 +142,7 @@ KEYWORDS = [("фреск", "visual_arts"), ("натюрморт", "visual_arts")
     s AS (SELECT id, category, sum(w) AS score FROM (SELECT q.id, k.category, 2.0 * contains(lower(coalesce(text, '')), keyword)::INT + 1.5 * contains(lower(coalesce(answer, '')), keyword)::INT
     + 1.0 * contains(lower(coalesce(comment, '')), keyword)::INT AS w FROM {Q} q CROSS JOIN k) WHERE w > 0 GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, category) AS rank, max(score) OVER (PARTITION BY id) AS best FROM s)
-    SELECT id, category, rank, score::DOUBLE AS score, round(greatest(0.4, least(0.95, (CASE WHEN score >= 6 THEN 0.95 WHEN score >= 4 THEN 0.85 WHEN score >= 2 THEN 0.7 ELSE 0.55 END)
+    SELECT id, category, rank::INT AS rank, score::DOUBLE AS score, round(greatest(0.4, least(0.95, (CASE WHEN score >= 6 THEN 0.95 WHEN score >= 4 THEN 0.85 WHEN score >= 2 THEN 0.7 ELSE 0.55 END)
     - (CASE WHEN rank = 2 THEN 0.15 ELSE 0 END))), 2)::DOUBLE AS confidence FROM r WHERE rank = 1 OR (rank = 2 AND score >= greatest(2.5, 0.55 * best))""",
 )
 def m11(c):

@@ -101,7 +101,7 @@ def str5(c):
     return I.gap_runs(c.table("packs"))
 
 
-@query("w9_tours", f"""SELECT id, 1 + sum(r) OVER (PARTITION BY pack_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS tour FROM
+@query("w9_tours", f"""SELECT id, 1::BIGINT + sum(r) OVER (PARTITION BY pack_id ORDER BY id ROWS UNBOUNDED PRECEDING)::BIGINT AS tour FROM
  (SELECT id, pack_id, CASE WHEN number <= coalesce(lag(number) OVER (PARTITION BY pack_id ORDER BY id), 0) THEN 1 ELSE 0 END AS r FROM {Q})""")
 def w9(c):
     return I.tour_numbers(c.question_columns("pack_id", "number")).select("id", F.col("tour"))
@@ -121,7 +121,7 @@ def a32_categories(c):
 
 @query("a47_mask_difficulty", f"""WITH m AS (SELECT pack_id, id AS team, bin(id + 1024) AS mask FROM {Q}), w AS (SELECT pack_id, arg_min(length(mask), (team, mask)) AS width, count(*) AS teams FROM m GROUP BY 1),
  r AS (SELECT w.pack_id, p.position, teams, count(*) FILTER (m.mask[p.position] = '1') AS ok FROM w JOIN (SELECT unnest(range(1, 65)) AS position) p ON p.position <= w.width JOIN m ON m.pack_id = w.pack_id GROUP BY ALL)
- SELECT pack_id, position, round_even((1 - ok / teams) * 10, 1) AS difficulty FROM r""")
+ SELECT pack_id, position::INT AS position, round_even((1 - ok / teams) * 10, 1) AS difficulty FROM r""")
 def a47(c):
     masks = c.question_columns("pack_id").select("pack_id", F.col("id").alias("team"), F.bin(F.col("id") + 1024).alias("mask"))
     return I.mask_difficulty(masks)

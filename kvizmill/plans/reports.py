@@ -56,13 +56,23 @@ def f16(c):
     return T.described(items, F.broadcast(both), 5)
 
 
-@query("j14_first_in_catalogue")
+@query(
+    "j14_first_in_catalogue",
+    """WITH n AS (SELECT DISTINCT replace(lower(trim(regexp_replace(category, '\\s+', ' ', 'g'))), 'ё', 'е') AS name FROM tg_posts WHERE category IS NOT NULL),
+    w AS (SELECT name, string_split(name, ' ') AS w, list_filter(string_split(name, ' '), lambda x: length(x) > 2) AS k FROM n)
+    SELECT w.name, min(c.id) AS item FROM w JOIN categories c ON (len(w.w) = 1 AND length(w.name) >= 6 AND contains(' ' || lower(c.name_ru), ' ' || w.name))
+    OR (len(w.w) > 1 AND len(w.k) > 0 AND len(list_filter(w.k, lambda x: NOT contains(lower(c.name_ru), x))) = 0) GROUP BY 1""",
+)
 def j14(c):
     names = c.posts.where("category IS NOT NULL").select(X.text_key(F.col("category")).alias("name")).distinct()
     return T.first_in_catalogue(names, c.categories.select(F.col("id").alias("item"), F.col("id").alias("pos"), F.col("name_ru").alias("title")))
 
 
-@query("m13_classified")
+@query(
+    "m13_classified",
+    f"""SELECT q.id AS question_id, s.id AS subcategory_id, 0.7::DOUBLE AS confidence FROM {Q} q JOIN categories c ON c.sort_order = 5 JOIN subcategories s ON s.category_id = c.id AND s.sort_order = 1
+    WHERE regexp_matches(lower(coalesce(q.text, '') || ' ' || coalesce(q.answer, '')), 'фреск|витраж|скульптор') AND q.id NOT IN (SELECT question_id FROM question_topics WHERE model_name = '{MODEL}')""",
+)
 def m13(c):
     """The work queue of one model through the keyword rules, as a classifier would be plugged in."""
     done = c.topics.where(F.col("model_name") == MODEL).select(F.col("question_id").alias("id"))
@@ -121,7 +131,10 @@ def x19(c):
     return c.question_columns("text").where("text IS NOT NULL").select("id", H.text_of(page).alias("text"))
 
 
-@query("x20_x22_embedded_questions")
+@query(
+    "x20_x22_embedded_questions",
+    f"""SELECT id AS page_id, 0::BIGINT AS pos, id, number::BIGINT AS number, nullif(text, '') AS text, nullif(answer, '') AS answer, NULL::VARCHAR AS authors FROM {Q}""",
+)
 def x20(c):
     q = F.to_json(F.struct(F.array(F.struct("id", "number", "text", "answer")).alias("questions")))
     pages = c.question_columns("number", "text", "answer").select(F.col("id").alias("page_id"), F.concat(F.lit("<script>data = "), q, F.lit("</script>")).alias("html"))

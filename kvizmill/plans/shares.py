@@ -32,7 +32,7 @@ def dated(c, model=None):
     )
 
 
-DATED = f"""(SELECT qt.*, c.name AS category, c.id AS category_id, c.sort_order, s.name AS subcategory, d.day, year(d.day) AS year, strftime(d.day, '%Y-%m') AS month
+DATED = f"""(SELECT qt.*, c.name AS category, c.id AS category_id, c.sort_order, s.name AS subcategory, d.day, year(d.day)::INT AS year, strftime(d.day, '%Y-%m') AS month
  FROM {LAB} JOIN {Q} q ON q.id = qt.question_id JOIN (SELECT id, {DATE.format('published_date')} AS day FROM {P}) d ON d.id = q.pack_id WHERE d.day IS NOT NULL)"""
 
 

@@ -44,7 +44,7 @@ def str3_stream(c):
     return streamed_leitner(c.spark, c.sf_dir).select("user_id", "question_id", "box", "streak")
 
 
-@query("str4_due", f"SELECT user_id, question_id, next_review_at, row_number() OVER (PARTITION BY user_id ORDER BY next_review_at, question_id) AS rank FROM {STATE} WHERE next_review_at <= TIMESTAMP '2024-02-01' QUALIFY rank <= 20")
+@query("str4_due", f"SELECT user_id, question_id, next_review_at, row_number() OVER (PARTITION BY user_id ORDER BY next_review_at, question_id)::INT AS rank FROM {STATE} WHERE next_review_at <= TIMESTAMP '2024-02-01' QUALIFY rank <= 20")
 def str4(c):
     as_of = F.lit("2024-02-01").cast("timestamp_ntz")
     return T.due(T.leitner(c.attempts), as_of).where("rank <= 20").select("user_id", "question_id", "next_review_at", "rank")
