@@ -38,8 +38,9 @@ PLACEHOLDERS = ("", "und", "n/a", "na", "unknown", "none", "null", "??", "???",
 #: The classifier is fitted on at most so many labelled documents of at most so many characters.
 TRAIN_ROWS, TRAIN_CHARS = 6000, 4000
 BUCKETS, ORDERS, PASSES = 1 << 18, (1, 2, 3, 4), 4
-#: Log-odds from which a sentence's language is taken as certain, and words from which it counts.
-MARGIN, LEAST_WORDS = 4.0, 2
+#: Log-odds from which a sentence's language is taken as certain, and from which a sentence of two words, often a
+#: heading with a loan word, brings in a language; single words never do.
+MARGIN, SHORT_MARGIN = 4.0, 70.0
 CACHE_WORDS = 1_000_000
 
 #: The usual English romanisation of Cyrillic letters.
@@ -228,7 +229,7 @@ def _judge(score: np.ndarray, size: np.ndarray):
     ordered = np.sort(score, axis=1)
     margin = ordered[:, -1] - ordered[:, -2]
     best = score.argmax(axis=1)
-    own = (margin >= MARGIN) & (size >= LEAST_WORDS)
+    own = (margin >= np.where(size > 2, MARGIN, SHORT_MARGIN)) & (size > 1)
     weight = np.bincount(best[own], weights=size[own], minlength=len(LANGUAGES)) if own.any() else None
     main = int(weight.argmax()) if weight is not None and weight.any() else int(score.sum(axis=0).argmax())
     lang = np.where(own, best, main)
