@@ -8,15 +8,19 @@ the same error rate with many. Truths and weights are found in turn.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvizmill.session import cut
+from kvizmill.llm import ballots as B
+from kvizmill.session import cut, keep
 
 #: Rounds at most, and the mean change of weights from which it is enough.
 ROUNDS, STILL = 8, 0.01
 #: Width of a step of confidence.
 STEP = 0.05
+#: Up to so many sources (annotators by step) their weights are broadcast; beyond, they are a table that is joined.
+MANY_SOURCES = 200_000
 #: Standard normal quantile of half the risk (0.05) of the interval.
 Z = -1.959964
 #: Annotators whose shared errors are the same in this part of cases, of at least so many, count as one.
@@ -117,9 +121,9 @@ def _meetings(labels: DataFrame) -> DataFrame:
     return met.agg(F.count("*").alias("both"), F.avg((F.col("sa") == F.col("sb")).cast("double")).alias("same")).where(F.col("both") >= COPY_CASES)
 
 
-def _joined(pairs: DataFrame) -> dict[str, str]:
-    """Annotator -> first name of its party, for the few pairs that copy each other."""
-    party: dict[str, str] = {}
+def _joined(pairs: DataFrame) -> dict:
+    """Annotator -> first of its party, for the few pairs that copy each other."""
+    party: dict = {}
     for r in pairs.select("a", "b").orderBy("a", "b").collect():
         one, other = party.get(r.a, r.a), party.get(r.b, r.b)
         first = min(one, other)
@@ -127,9 +131,9 @@ def _joined(pairs: DataFrame) -> dict[str, str]:
     return party
 
 
-def _twins(labels: DataFrame) -> dict[str, str]:
-    """Parties found without a truth. Left to vote twice, a pair of copies would be the first truth."""
-    met = cut(_meetings(labels))
+def _twins(met: DataFrame) -> dict:
+    """Parties found without a truth, from ``_meetings``. Left to vote twice, a pair of copies would be the first truth."""
+    met = cut(met)
     each = met.select(F.col("a").alias("who"), "same").unionByName(met.select(F.col("b").alias("who"), "same"))
     order = Window.partitionBy("who").orderBy(F.col("same").desc())
     third = each.withColumn("k", F.row_number().over(order)).where("k = 2").select("who", F.col("same").alias("third"))
@@ -140,11 +144,6 @@ def _twins(labels: DataFrame) -> dict[str, str]:
     return _joined(best.where(lead >= TWIN_LEAD))
 
 
-def _parties(judged: DataFrame) -> dict[str, str]:
-    """Parties by shared errors: of the questions both got wrong, most have the same wrong label."""
-    return _joined(_meetings(judged.where("subcategory_id <> truth")).where(F.col("same") >= COPY_SHARE))
-
-
 def _moved(before: DataFrame, after: DataFrame) -> float:
     """Mean relative change of the weights, by labels."""
     old = before.select("model_name", "step", F.col("weight").alias("_w"))
@@ -153,26 +152,15 @@ def _moved(before: DataFrame, after: DataFrame) -> float:
     return both.agg(change.alias("c")).first().c or 0.0
 
 
-def discover(topics: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(consensus, annotators) of ``question_topics`` rows.
-
-    consensus: ``question_id, subcategory_id, annotators, agreement, support``:
-    the winning label, how many labelled, the share of them that agree and the
-    weighted share. A tie goes to more annotators, then to the smaller
-    subcategory. annotators: ``model_name, labels, errors, reliability,
-    weight, party``, where reliability is the share of labels that equal the
-    consensus of questions with two annotators or more. A question labelled by
-    one annotator has that label; an empty table has empty results.
-    """
-    step = F.floor(F.least(F.col("confidence"), F.lit(1.0)) / F.lit(STEP)).cast("int")
-    labels = cut(main_labels(topics).withColumn("step", step).drop("confidence"))
-    sources = cut(labels.select("model_name", "step").distinct())
-    party = _twins(labels)
+def _by_joins(labels: DataFrame, sources: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Truth discovery with weights as a table of any size: each round joins the labels with it."""
+    party = _twins(_meetings(labels))
     truths, weights = cut(_vote(labels, None, party)), None
     for k in range(rounds):
         judged = _judged(labels, truths, weights)
         if k == 1:
-            party = party | _parties(judged)
+            met = _meetings(judged.where("subcategory_id <> truth"))
+            party = party | _joined(met.where(F.col("same") >= COPY_SHARE))
         # A step that no other annotator has judged has the weight of a coin.
         fresh = sources.join(_weigh(judged, party), ["model_name", "step"], "left").fillna({"labels": 0, "errors": 0.0, "weight": 1.0})
         before, weights = weights, cut(fresh.withColumn("party", F.coalesce("party", "model_name")))
@@ -196,6 +184,68 @@ def discover(topics: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
     return kept, annotators
 
 
+def _by_ballots(labels: DataFrame, sources: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Truth discovery with weights as an array: the labels are shuffled once, a round is a pass over the ballots."""
+    spark = labels.sparkSession
+    pairs = sorted((r.model_name, r.step) for r in sources.collect())
+    names = sorted({m for m, _ in pairs})
+    number = {m: i for i, m in enumerate(names)}
+    annotator = np.array([number[m] for m, _ in pairs], dtype=np.int64)
+    numbered = spark.createDataFrame([(m, st, i) for i, (m, st) in enumerate(pairs)], "model_name string, step int, source int")
+    ballots = keep(B.make(labels, numbered))
+    weight, party = np.ones(len(pairs)), annotator.copy()
+
+    def met(df: DataFrame) -> DataFrame:
+        a, b = F.floor(F.col("pair") / len(names)).cast("int"), (F.col("pair") % len(names)).cast("int")
+        return df.where(F.col("both") >= COPY_CASES).select(a.alias("a"), b.alias("b"), "both", (F.col("same") / F.col("both")).alias("same"))
+
+    def joined(found: dict) -> np.ndarray:
+        return np.array([found.get(int(p), int(p)) for p in party], dtype=np.int64)
+
+    if len(names) > 1:
+        party = joined(_twins(met(B.meetings(ballots, annotator, None, party))))
+    for k in range(rounds if pairs else 0):
+        votes, errors = B.errors(ballots, weight, party)
+        if k == 1 and len(names) > 1:
+            wrong = met(B.meetings(ballots, annotator, weight, party))
+            party = joined(_joined(wrong.where(F.col("same") >= COPY_SHARE)))
+        part = 2 / (9 * np.maximum(votes, 1))
+        low = np.maximum(votes * np.maximum(1 - part + Z * np.sqrt(part), 0) ** 3, 0.001)
+        # A step that no other annotator has judged has the weight of a coin.
+        fresh = np.where(votes > 0, low / np.maximum(errors, 0.5), 1.0)
+        moved = (votes * np.abs(fresh - weight)).sum() / max((votes * weight).sum(), 1e-9)
+        weight = fresh
+        if k > 1 and moved < STILL:
+            break
+    truths = B.outcome(ballots, weight, party)
+    votes, against = B.agreement_with(ballots, weight, party)
+    rows = []
+    for i, name in enumerate(names):
+        mine = annotator == i
+        n, counts = votes[mine].sum(), np.maximum(votes[mine], 1)
+        first = names[int(party[mine][0])]
+        rows.append((name, int(n), float(against[mine].sum()), float(1 - against[mine].sum() / n) if n else None, float((weight[mine] * counts).sum() / counts.sum()), first))
+    annotators = spark.createDataFrame(rows, "model_name string, labels long, errors double, reliability double, weight double, party string")
+    return truths.select("question_id", F.col("truth").alias("subcategory_id"), "annotators", "agreement", "support"), annotators
+
+
+def discover(topics: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(consensus, annotators) of ``question_topics`` rows.
+
+    consensus: ``question_id, subcategory_id, annotators, agreement, support``:
+    the winning label, how many labelled, the share of them that agree and the
+    weighted share. A tie goes to more annotators, then to the smaller
+    subcategory. annotators: ``model_name, labels, errors, reliability,
+    weight, party``, where reliability is the share of labels that equal the
+    consensus of questions with two annotators or more. A question labelled by
+    one annotator has that label; an empty table has empty results.
+    """
+    step = F.floor(F.least(F.col("confidence"), F.lit(1.0)) / F.lit(STEP)).cast("int")
+    labels = keep(main_labels(topics).withColumn("step", step).drop("confidence"))
+    sources = cut(labels.select("model_name", "step").distinct())
+    return (_by_ballots if sources.count() <= MANY_SOURCES else _by_joins)(labels, sources, rounds)
+
+
 def consensus_of_three(topics: DataFrame) -> DataFrame:
     """``question_id, subcategory_id`` of the questions with at least three different annotators."""
     truths, _ = discover(topics)

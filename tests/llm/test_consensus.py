@@ -1,6 +1,9 @@
 import datetime
 import random
 
+import pytest
+
+from kvizmill.llm import consensus as C
 from kvizmill.llm.consensus import consensus_of_three, discover, main_labels
 
 TOPICS = "question_id long, model_name string, subcategory_id int, confidence double, method string, classified_at timestamp_ntz, truth int"
@@ -11,6 +14,11 @@ def table(spark, rows):
     return spark.createDataFrame([(*r, "llm", T, 0) for r in rows], TOPICS)
 
 
+@pytest.fixture(params=[C.MANY_SOURCES, 0], ids=["ballots", "joins"], autouse=True)
+def both_ways(request, monkeypatch):
+    monkeypatch.setattr(C, "MANY_SOURCES", request.param)
+
+
 def test_reliable_annotators_outvote_copies(spark):
     """Three good annotators win against noise and a pair that copies its errors."""
     rng = random.Random(5)
@@ -42,3 +50,13 @@ def test_small_tables(spark):
     assert got[1] == (5, 3, 0.67) and got[2] == (1, 1, 1.0) and got[3][1:] == (2, 0.5)
     assert [tuple(r) for r in consensus_of_three(table(spark, rows)).collect()] == [(1, 5)]
     assert consensus_of_three(table(spark, rows[:0])).count() == 0
+
+
+def test_ways_agree(spark, monkeypatch):
+    topics = spark.read.parquet("/root/testdata/sf0.01/question_topics.parquet")
+    found = []
+    for most in (10**6, 0):
+        monkeypatch.setattr(C, "MANY_SOURCES", most)
+        consensus, annotators = discover(topics, 3)
+        found.append(({r.question_id: (r.subcategory_id, r.annotators, round(r.agreement, 6), round(r.support, 6)) for r in consensus.collect()}, {r.model_name: (r.labels, r.errors, round(r.weight, 6), r.party) for r in annotators.collect()}))
+    assert found[0] == found[1]
