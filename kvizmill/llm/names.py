@@ -10,6 +10,7 @@ names that can't be the same are never joined.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -243,26 +244,30 @@ def _cluster(group: pd.DataFrame) -> pd.DataFrame:
         # Two typos of one word are two edits apart; short words so far apart are others.
         return given * shared if min(len(a[1]), len(b[1])) > 5 else -1.0
 
-    # Sums of similarities between clusters; a pair that can't be the same makes the sum minus infinity.
+    # Sums of similarities between clusters; pairs with members that can't be the same have none and never will.
     sums: dict[int, dict[int, float]] = {i: {} for i in range(n)}
     for i in range(n):
         for j in range(i):
             s = similarity(i, j)
-            sums[i][j] = sums[j][i] = s if s >= 0 else float("-inf")
-    size = dict.fromkeys(range(n), 1)
+            if s >= 0:
+                sums[i][j] = sums[j][i] = s
     member = {i: [i] for i in range(n)}
-    while True:
-        best = max(((s / (size[i] * size[j]), -i, -j) for i, row in sums.items() for j, s in row.items() if i < j), default=None)
-        if best is None or best[0] < LINKAGE:
-            break
-        i, j = -best[1], -best[2]
-        for k in list(sums[j]):
-            if k != i:
-                sums[i][k] = sums[k][i] = sums[i][k] + sums[j][k]
-            del sums[k][j]
-        del sums[j]
-        size[i] += size.pop(j)
+    best = [(-s, j, i, 1, 1) for i, row in sums.items() for j, s in row.items() if j < i]
+    heapq.heapify(best)
+    while best and -best[0][0] >= LINKAGE:
+        _, i, j, of_i, of_j = heapq.heappop(best)
+        if len(member.get(i, ())) != of_i or len(member.get(j, ())) != of_j:
+            continue  # one of them has grown or gone since
         member[i] += member.pop(j)
+        gone, old = sums.pop(j), sums[i]
+        sums[i] = {k: old[k] + gone[k] for k in old.keys() & gone.keys()}
+        for k in (old.keys() | gone.keys()) - {i, j}:
+            sums[k].pop(j, None)
+            sums[k].pop(i, None)
+        for k, s in sums[i].items():
+            sums[k][i] = s
+            x, y = min(i, k), max(i, k)
+            heapq.heappush(best, (-s / (len(member[x]) * len(member[y])), x, y, len(member[x]), len(member[y])))
     out = [(min(facts[items[m[0]]]), name) for m in member.values() for k in m for name in facts[items[k]]]
     return pd.DataFrame(out, columns=["entity", "name"])
 
