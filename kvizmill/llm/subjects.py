@@ -73,6 +73,8 @@ class Rules:
                 for i in range(len(s)):
                     self._near[s[:i] + s[i + 1 :]].add(s)
         self._known: dict[str, str] = {}
+        self.active = self.single.keys() | self.paired
+        self._judged: dict[frozenset[str], tuple[str, float]] = {}  # sentences of one form have the same words that count
 
     def item(self, word: str) -> str:
         found = self._known.get(word)
@@ -95,7 +97,16 @@ class Rules:
 
     def judge(self, words: list[str]) -> tuple[str, float]:
         """The area of a sentence and the evidence for it; NONE without enough."""
-        items = {self.item(w) for w in words}
+        known = self._known
+        items = frozenset(i for w in words if (i := known.get(w) or self.item(w)) in self.active)
+        found = self._judged.get(items)
+        if found is None:
+            if len(self._judged) > 500_000:
+                self._judged = {}
+            found = self._judged[items] = self._weigh(items)
+        return found
+
+    def _weigh(self, items: frozenset[str]) -> tuple[str, float]:
         evidence: dict[str, float] = defaultdict(float)
         used: set[str] = set()
         matched = [(w, (x,), c) for x in items if (r := self.single.get(x)) for c, w in [r]]
