@@ -154,12 +154,13 @@ def _by_rare_words(large: DataFrame, words: DataFrame) -> DataFrame:
     """Rows of large groups, once for each of the rare words one of which two similar texts must share.
 
     Of n words at least 3n/5 are shared; so two similar texts share one of the
-    n - ceil(3n/5) + 1 rarest, by one order of all words.
+    n - ceil(3n/5) + 1 rarest, by one order of all words. Words are numbered
+    within a text, so repeated rows of ``words`` count once.
     """
-    rows = large.join(words.select("id", "words"), "id")
-    each = rows.select("grp", "size", "id", "bitmap", F.explode("words").alias("word"))
+    rows = large.join(words.select("text_key", "words").dropDuplicates(["text_key"]), "text_key")
+    each = rows.select("grp", "size", "id", "bitmap", "text_key", F.explode("words").alias("word"))
     count = each.groupBy("word").agg(F.count("*").alias("_n"))
-    order = F.row_number().over(Window.partitionBy("grp", "id").orderBy("_n", "word"))
+    order = F.row_number().over(Window.partitionBy("grp", "text_key").orderBy("_n", "word"))
     prefix = F.col("size") - F.ceil(F.col("size") * F.lit(SHARE[0]) / F.lit(SHARE[1])) + 1
     return each.join(count, "word").withColumn("_k", order).where(F.col("_k") <= prefix).select(
         F.xxhash64("grp", "word").alias("grp"), "size", "id", "bitmap"
@@ -202,14 +203,14 @@ def near_duplicates(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("grp", "to")
         .distinct()
     )
-    here = texts.select(own, "size", "id", "bitmap")
-    guests = here.join(visits, "grp").select(F.col("to").alias("grp"), "size", "id", "bitmap")
+    here = texts.select(own, "size", "id", "bitmap", "text_key")
+    guests = here.join(visits, "grp").select(F.col("to").alias("grp"), "size", "id", "bitmap", "text_key")
     placed = here.unionByName(guests)
     sizes = answers.select(F.xxhash64("answer").alias("grp"), "n").where(F.col("n") > LARGE_GROUP)
     if sizes.limit(1).count():
         large = placed.join(sizes.select("grp"), "grp", "left_semi")
-        placed = placed.join(sizes.select("grp"), "grp", "left_anti").unionByName(_by_rare_words(large, rows))
-    found = placed.repartition("grp").sortWithinPartitions("grp", "size", "id").mapInArrow(_compare, "a long, b long").where("a < b").distinct()
+        placed = placed.join(sizes.select("grp"), "grp", "left_anti").drop("text_key").unionByName(_by_rare_words(large, rows))
+    found = placed.select("grp", "size", "id", "bitmap").repartition("grp").sortWithinPartitions("grp", "size", "id").mapInArrow(_compare, "a long, b long").where("a < b").distinct()
 
     words = rows.select("id", "words")
     both = found.join(words.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(

@@ -84,6 +84,20 @@ def test_equals_brute_force(spark, monkeypatch, large):
     assert len(got - want) <= 0.05 * len(want) + 3
 
 
+def test_repeated_rows_of_large_groups(spark, monkeypatch):
+    """Repeated rows, and an id with several texts, leave no fewer rare words to a text."""
+    monkeypatch.setattr(N, "LARGE_GROUP", 8)
+    common = [f"слово{k}" for k in range(14)]
+    rows = [(1, " ".join(common), "якорь"), (2, " ".join(common[:11] + ["редкое", "иное", "третье"]), "якорь"), (2, " ".join(f"другое{k}" for k in range(14)), "якорь")]
+    rows += [(10 + i, " ".join([*common[:5], *(f"прочее{i}х{k}" for k in range(9))]), "якорь") for i in range(12)]
+    for times in (1, 2, 3):
+        df = spark.createDataFrame(rows * times, "id long, text string, answer string")
+        assert {tuple(r) for r in N.repeated_questions(df).collect()} == {(1, 2)}
+    rows = corpus(5)
+    df = spark.createDataFrame(rows * 2, "id long, text string, answer string")
+    assert brute(rows) <= {tuple(r) for r in N.repeated_questions(df).collect()}
+
+
 def test_copies_are_one_class(spark):
     df = spark.createDataFrame([(i, "одно и то же слово здесь", "да") for i in range(50)] + [(99, "одно и то же слово там", "да")], "id long, text string, answer string")
     links, members = N.near_duplicates(df)
