@@ -16,7 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvizmill.session import cut
@@ -86,6 +86,20 @@ def one_edit(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
 
 
+def edits(a: str, b: str) -> int:
+    """How many letters must be added, left out, changed or swapped with their neighbours to make one word of the other."""
+    before, last = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            d = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                d = min(d, before[j - 2] + 1)
+            row.append(d)
+        before, last = last, row
+    return last[-1]
+
+
 @functools.cache
 def _given() -> dict[str, tuple[str, ...]]:
     names: dict[str, set[str]] = {}
@@ -215,6 +229,22 @@ def _grams(word: str) -> set[str]:
     return {word[i : i + GRAM] for i in range(max(1, len(word) - GRAM + 1))}
 
 
+@functools.lru_cache(100_000)
+def _spelling(a: str, b: str) -> float:
+    """How alike two keys are written, from 0 to 1; -1 if they can't be the same."""
+    if a == b:
+        return 1.0
+    x, y = _grams(a), _grams(b)
+    shared = len(x & y) / (len(x) * len(y)) ** 0.5
+    if one_edit(a, b):
+        return max(0.55, shared) if min(len(a), len(b)) > 3 else -1.0
+    # Two typos of one word are two edits apart; short words so far apart are others.
+    if min(len(a), len(b)) <= 5:
+        return -1.0
+    # Spellings further apart may meet in a third one, but are no reason to join.
+    return shared if edits(a, b) <= 2 else min(shared, LINKAGE - 0.01)
+
+
 def _cluster(group: pd.DataFrame) -> pd.DataFrame:
     """Average-linkage clusters of the names of one group of similar keys.
 
@@ -226,7 +256,6 @@ def _cluster(group: pd.DataFrame) -> pd.DataFrame:
         facts.setdefault((sort, key, how, tuple(given)), []).append(name)
     items = list(facts)
     n = len(items)
-    grams = {i[1]: _grams(i[1]) for i in items}
 
     def similarity(i: int, j: int) -> float:
         a, b = items[i], items[j]
@@ -235,14 +264,8 @@ def _cluster(group: pd.DataFrame) -> pd.DataFrame:
         given = _compatible((a[2], a[3]), (b[2], b[3]))
         if not given:
             return -1.0
-        if a[1] == b[1]:
-            return given
-        x, y = grams[a[1]], grams[b[1]]
-        shared = len(x & y) / (len(x) * len(y)) ** 0.5
-        if one_edit(a[1], b[1]):
-            return given * max(0.55, shared) if min(len(a[1]), len(b[1])) > 3 else -1.0
-        # Two typos of one word are two edits apart; short words so far apart are others.
-        return given * shared if min(len(a[1]), len(b[1])) > 5 else -1.0
+        spelling = _spelling(a[1], b[1])
+        return given * spelling if spelling >= 0 else -1.0
 
     # Sums of similarities between clusters; pairs with members that can't be the same have none and never will.
     sums: dict[int, dict[int, float]] = {i: {} for i in range(n)}
@@ -272,14 +295,8 @@ def _cluster(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["entity", "name"])
 
 
-def _same_word(a: Column, b: Column) -> Column:
-    """``one_edit`` for Spark: edit distance 1, or 2 by a swap of neighbours."""
-    letters = lambda c: F.array_sort(F.split(c, ""))
-    return (F.levenshtein(a, b) <= 1) | ((F.levenshtein(a, b) == 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b)))
-
-
 def similar_keys(keys: DataFrame) -> DataFrame:
-    """``a, b, cosine``: pairs a < b of different ``key``s that are one edit apart and at least COSINE similar.
+    """``a, b, cosine``: pairs a < b of different ``key``s that are at least COSINE similar.
 
     Prefix filter: of each vector the rarest n-grams are indexed, as far as the
     rest of it can't reach the threshold alone. A pair above the threshold
@@ -319,14 +336,19 @@ def similar_keys(keys: DataFrame) -> DataFrame:
     )
     return (
         left.join(right, "gram")
-        .where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1))
-        .where(_same_word(F.col("a"), F.col("b")))
+        .where(F.col("a") < F.col("b"))
         .dropDuplicates(["a", "b"])
         .select("a", "b", dot.alias("cosine"))
         .where(F.col("cosine") >= COSINE)
     )
 
 
+def _linkable(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of keys whose names linkage may join by themselves."""
+    for f in frames:
+        yield f[[_spelling(a, b) >= LINKAGE for a, b in zip(f["a"], f["b"])]]
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``key, group``: the smallest key that can be reached over ``links`` (a, b), by rounds of least labels."""
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -356,7 +378,10 @@ def link_names(names: DataFrame) -> DataFrame:
     uses = names.where(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("uses"))
     parsed = cut(uses.select("name").mapInPandas(_parse_all, _PARSED).join(uses, "name"))
     keys = parsed.select("key").distinct()
-    group = components(keys, similar_keys(keys))
+    # Two clusters are joined only if some pair of their names reaches LINKAGE, as an average is no more
+    # than its largest term; so components of such pairs hold all that linkage would join among similar keys.
+    near = similar_keys(keys).select("a", "b").mapInPandas(_linkable, "a string, b string")
+    group = components(keys, near)
     return parsed.join(group, "key").groupBy("group").applyInPandas(_cluster, "entity string, name string")
 
 

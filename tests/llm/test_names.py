@@ -53,3 +53,21 @@ def test_entities(spark):
     pairs = {tuple(r) for r in linked_pairs(df).collect()}
     assert pairs == {(a, b) for p in PEOPLE for a in p for b in p if a < b}
     assert linked_pairs(df.where("false")).count() == 0
+
+
+def groups_of(spark, names):
+    found: dict = {}
+    for r in link_names(spark.createDataFrame([(n,) for n in names], "name string")).collect():
+        found.setdefault(r.entity, set()).add(r.name)
+    return sorted(map(sorted, found.values()))
+
+
+def test_two_edits(spark):
+    """Spellings two edits from every other one of their entity are linked, other surnames of like letters aren't."""
+    people = [
+        ["Марина Цветаева", "Marina Cvetaeva"],
+        ["Светлана Балвосатская", "Светлана Бавлосатсская"],
+        ["Иван Петровский"], ["Иван Петров"],
+        ["Елена Ламрасатенко"], ["Елена Ламмивосенко"],
+    ]
+    assert groups_of(spark, [n for p in people for n in p]) == sorted(map(sorted, people))
