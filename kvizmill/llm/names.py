@@ -1,7 +1,8 @@
 """Problem 5: spellings of one person or organisation.
 
-Names are taken apart into a key (surname, or name of the organisation) and
-what else tells entities apart (given name, kind of organisation). Keys are
+Names are taken apart into a key (surname, or all words of the organisation's
+name, in any order) and what else tells entities apart (given name, kind and
+town of the organisation). Keys are
 compared as tf-idf vectors of character n-grams by a sparse cosine join, and
 the names of similar keys are grouped by average-linkage clustering in which
 names that can't be the same are never joined.
@@ -138,10 +139,30 @@ def given_name(word: str) -> tuple[str, ...]:
     return tuple(near) if len(near) <= 2 else ()
 
 
+def organisation(name: str) -> tuple[list[str], list[str]]:
+    """The words of an organisation's name, in order of the alphabet, and its towns, as far as they are given.
+
+    The name is what is quoted, else what comes after the kind and before a
+    comma. Towns come after a comma or in brackets, with a capital letter.
+    """
+    plain = re.sub(r"\([^()]*\)", " ", name)
+    quoted = re.search(r"[«\"“„]\s*([^«»\"“”„]+)[»\"“”]?(.*)", plain)
+    if quoted:
+        core, after = quoted[1], quoted[2]
+    else:
+        core, _, after = plain.partition(",")
+        core, after = core.split(None, 1)[-1], "," + after
+    named = [*re.findall(r",([^,]*)", after), *(t for b in re.findall(r"\(([^()]*)\)", name) for t in b.split(","))]
+    towns = {fold(t) for x in named for t in [" ".join(re.findall(r"[\w-]+", x))] if t[:1].isupper()}
+    return sorted({fold(w) for w in re.findall(r"[^\W_]+", core)} - {""}), sorted(towns)
+
+
 def parse(name: str) -> tuple[str, str, str, list[str]]:
     """(kind of entity "o" or "p", key, how the rest is given, what it may be).
 
-    For organisations the rest is its kind, whole or an initial. For people it
+    For organisations the key is the first word of the name, of which
+    ``organisation`` has the others, and the rest is its kind, whole or an
+    initial. For people it
     is the given name: "full" with all names it may be, "abbr" with its first
     letters, "init" with one, or "none".
     """
@@ -150,7 +171,7 @@ def parse(name: str) -> tuple[str, str, str, list[str]]:
     first = fold(words[0]) if words else ""
     quoted = re.search(r"[«\"“„]\s*([^«»\"“”„]+)", plain)
     kind = next((k for k in KINDS if one_edit(first, fold(k))), None) if len(first) > 3 else None
-    if quoted and len(words) > 1 or kind and len(words) > 1:
+    if quoted and len(words) > 1 or kind and (len(words) > 1 or re.search(r"\d", plain)):
         core = quoted[1] if quoted else re.split(r",", plain)[0].split(None, 1)[-1]
         key = fold(re.findall(r"[^\W\d_]+", core)[0]) if re.search(r"[^\W\d_]", core) else first
         if kind:
@@ -195,13 +216,17 @@ def parse(name: str) -> tuple[str, str, str, list[str]]:
     return "p", key, "none", []
 
 
-_PARSED = "name string, sort string, key string, how string, given array<string>"
+_PARSED = "name string, sort string, key string, how string, given array<string>, towns array<string>"
 
 
 def _parse_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        rows = [(n, *parse(n)) for n in f["name"]]
-        yield pd.DataFrame(rows, columns=["name", "sort", "key", "how", "given"])
+        rows = []
+        for n in f["name"]:
+            sort, key, how, given = parse(n)
+            words, towns = organisation(n) if sort == "o" else ([], [])
+            rows.append((n, sort, " ".join(words) or key, how, given, towns))
+        yield pd.DataFrame(rows, columns=["name", "sort", "key", "how", "given", "towns"])
 
 
 def _compatible(a: tuple, b: tuple) -> float:
@@ -224,16 +249,38 @@ def _compatible(a: tuple, b: tuple) -> float:
     return 0.9 if one.startswith(other) or other.startswith(one) else 0.0
 
 
-def _grams(word: str) -> set[str]:
-    word = f"^{word}$"
-    return {word[i : i + GRAM] for i in range(max(1, len(word) - GRAM + 1))}
+def _same_town(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
+    return not a or not b or any(x == y or min(len(x), len(y)) > 3 and one_edit(x, y) for x in a for y in b)
+
+
+def _grams(key: str) -> set[str]:
+    words = [f"^{w}$" for w in key.split(" ")]
+    return {w[i : i + GRAM] for w in words for i in range(max(1, len(w) - GRAM + 1))}
 
 
 @functools.lru_cache(100_000)
 def _spelling(a: str, b: str) -> float:
-    """How alike two keys are written, from 0 to 1; -1 if they can't be the same."""
+    """How alike two keys are written, from 0 to 1; -1 if they can't be the same.
+
+    Of several words, each of the shorter key must have its own in the other.
+    """
     if a == b:
         return 1.0
+    if " " in a or " " in b:
+        one, other = sorted((a.split(" "), b.split(" ")), key=len)
+        left, own = list(other), []
+        for w in sorted(one, key=len, reverse=True):
+            match = max(left, key=lambda v: _spelling(*sorted((w, v))))
+            alike = _spelling(*sorted((w, match)))
+            if alike >= LINKAGE:
+                own.append(alike)
+                left.remove(match)
+        if len(own) < len(one):
+            # Two parts of one name may meet in the whole; words in common beside different ones make two names.
+            return -1.0 if own else 0.0
+        return min(own) * (1 - 0.1 * sum(map(len, left)) / sum(map(len, other)))
+    if any(c.isdigit() for c in a + b):
+        return -1.0
     x, y = _grams(a), _grams(b)
     shared = len(x & y) / (len(x) * len(y)) ** 0.5
     if one_edit(a, b):
@@ -252,21 +299,22 @@ def _cluster(group: pd.DataFrame) -> pd.DataFrame:
     """
     group = group.sort_values(["uses", "name"], ascending=[False, True])
     facts: dict[tuple, list[str]] = {}
-    for name, sort, key, how, given in group[["name", "sort", "key", "how", "given"]].itertuples(index=False):
-        facts.setdefault((sort, key, how, tuple(given)), []).append(name)
+    for name, sort, key, how, given, towns in group[["name", "sort", "key", "how", "given", "towns"]].itertuples(index=False):
+        facts.setdefault((sort, key, how, tuple(given), tuple(towns)), []).append(name)
     items = list(facts)
     n = len(items)
 
     def similarity(i: int, j: int) -> float:
         a, b = items[i], items[j]
-        if a[0] != b[0]:
+        if a[0] != b[0] or not _same_town(a[4], b[4]):
             return -1.0
         given = _compatible((a[2], a[3]), (b[2], b[3]))
         if not given:
             return -1.0
-        spelling = _spelling(a[1], b[1])
+        spelling = _spelling(*sorted((a[1], b[1])))
         return given * spelling if spelling >= 0 else -1.0
 
+    unclear: dict[int, list[int]] = {}
     # Sums of similarities between clusters; pairs with members that can't be the same have none and never will.
     sums: dict[int, dict[int, float]] = {i: {} for i in range(n)}
     for i in range(n):
@@ -274,6 +322,17 @@ def _cluster(group: pd.DataFrame) -> pd.DataFrame:
             s = similarity(i, j)
             if s >= 0:
                 sums[i][j] = sums[j][i] = s
+    # A name that says less (fewer words, no town) and fits two that can't be the same stands for neither.
+    says = [(len(i[1].split(" ")), bool(i[4])) for i in items]
+    for i in range(n):
+        if items[i][0] == "o":
+            fuller = [j for j in sums[i] if says[j] != says[i] and all(x >= y for x, y in zip(says[j], says[i]))]
+            if any(k not in sums[j] for j in fuller for k in fuller if j < k):
+                unclear[i] = fuller
+    for i, fuller in unclear.items():
+        for j in fuller:
+            sums[i].pop(j, None)
+            sums[j].pop(i, None)
     member = {i: [i] for i in range(n)}
     best = [(-s, j, i, 1, 1) for i, row in sums.items() for j, s in row.items() if j < i]
     heapq.heapify(best)
@@ -303,12 +362,11 @@ def similar_keys(keys: DataFrame) -> DataFrame:
     shares one of these, so no link is lost, and n-grams that many keys share
     are hardly ever indexed.
     """
-    grams = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("key") + 2 - GRAM + 1)),
-            lambda i: F.substring(F.concat(F.lit("^"), F.col("key"), F.lit("$")), i, F.lit(GRAM)),
-        )
+    of_word = lambda w: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) + 2 - GRAM + 1)),
+        lambda i: F.substring(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(GRAM)),
     )
+    grams = F.array_distinct(F.flatten(F.transform(F.split("key", " "), of_word)))
     each = keys.select("key").distinct().select("key", F.explode(grams).alias("gram"))
     df = each.groupBy("gram").agg(F.count("*").alias("df"))
     total = keys.select("key").distinct().count()

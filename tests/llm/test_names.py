@@ -71,3 +71,17 @@ def test_two_edits(spark):
         ["Елена Ламрасатенко"], ["Елена Ламмивосенко"],
     ]
     assert groups_of(spark, [n for p in people for n in p]) == sorted(map(sorted, people))
+
+
+def test_whole_names_of_organisations(spark):
+    """All words count, in any order; a town may be left out but not differ; a name that fits two stands for neither."""
+    entities = [
+        ["Клуб «Белая сова»", "Клуб «Сова Белая»", "клуб «Белая свва»", "К. «Белая сова», Калинец", "Klub Belaya Sova"],
+        ["Клуб «Белая ворона»", "Клуб «Ворона белая» (Штарк)"],
+        ["Клуб «Белая»"],
+        ["Команда «Готсиг и совы»", "Команда «совы и Готсиг»", "Команда «и совы»", "Команда Готсиг"],
+        ["Лига «Румнап», Тарнополье", "Лига «Румнап» (Тарнополье)"],
+        ["Лига «Румнап», Калинец"],
+        ["Школа 57"], ["Школа 58"],
+    ]
+    assert groups_of(spark, [n for e in entities for n in e]) == sorted(map(sorted, entities))
