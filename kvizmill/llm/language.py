@@ -38,9 +38,9 @@ PLACEHOLDERS = ("", "und", "n/a", "na", "unknown", "none", "null", "??", "???",
 #: The classifier is fitted on at most so many labelled documents of at most so many characters.
 TRAIN_ROWS, TRAIN_CHARS = 6000, 4000
 BUCKETS, ORDERS, PASSES = 1 << 18, (1, 2, 3, 4), 4
-#: Log-odds from which a sentence's language is taken as certain, and from which a sentence of two words, often a
-#: heading with a loan word, brings in a language; single words never do.
-MARGIN, SHORT_MARGIN = 4.0, 70.0
+#: Log-odds from which a sentence's language is taken as certain, and log-odds a letter against the language of the
+#: text from which a sentence of two words, often a heading with a loan word, brings in a language; single words never do.
+MARGIN, SHORT_MARGIN = 4.0, 6.0
 CACHE_WORDS = 1_000_000
 
 #: The usual English romanisation of Cyrillic letters.
@@ -109,6 +109,7 @@ class _Words:
         self.number: dict[str, int] = {}
         self.new: list[str] = []
         self.named = np.zeros(0, dtype=bool)
+        self.letters = np.zeros(0, dtype=np.int64)
         self.rows = np.zeros((0, len(LANGUAGES)), dtype=np.float32)
 
     def tell(self, word: str) -> int:
@@ -123,6 +124,7 @@ class _Words:
         if not self.new:
             return
         self.named = np.concatenate([self.named, np.array([w[:1].isupper() for w in self.new])])
+        self.letters = np.concatenate([self.letters, np.array([len(w) for w in self.new])])
         if self.table is not None:
             rows = np.zeros((len(self.new), len(LANGUAGES)), dtype=np.float32)
             for at in range(0, len(self.new), 20_000):
@@ -224,14 +226,20 @@ def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CH
     return bounded_sample(fit_for, "doc_id", rows, labelled.count()).select("text", "code")
 
 
-def _judge(score: np.ndarray, size: np.ndarray):
-    """Languages of one text's sentences: index, confidence, and whether the sentence may bring in a language."""
+def _judge(score: np.ndarray, size: np.ndarray, words: np.ndarray, letters: np.ndarray):
+    """Languages of one text's sentences: index, confidence, and whether the sentence may bring in a language.
+
+    ``size`` and ``letters`` are of the counted words, ``words`` is the number of all.
+    """
     ordered = np.sort(score, axis=1)
     margin = ordered[:, -1] - ordered[:, -2]
     best = score.argmax(axis=1)
-    own = (margin >= np.where(size > 2, MARGIN, SHORT_MARGIN)) & (size > 1)
+    short = words <= 2
+    own = (margin >= np.where(short, SHORT_MARGIN * letters, MARGIN)) & (size > 1)
     weight = np.bincount(best[own], weights=size[own], minlength=len(LANGUAGES)) if own.any() else None
     main = int(weight.argmax()) if weight is not None and weight.any() else int(score.sum(axis=0).argmax())
+    # That a third language comes close doesn't make a short sentence one of the text's own language.
+    own |= short & (size > 1) & (margin >= MARGIN) & (ordered[:, -1] - score[:, main] >= SHORT_MARGIN * letters)
     lang = np.where(own, best, main)
     shifted = np.exp(score - ordered[:, -1:])
     confidence = shifted[np.arange(len(lang)), lang] / shifted.sum(axis=1)
@@ -251,7 +259,8 @@ def _identify(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBat
         score = np.zeros((len(owner), len(LANGUAGES)))
         for j in range(len(LANGUAGES)):
             score[:, j] = np.bincount(sentence[counted], weights=words.rows[number[counted], j], minlength=len(owner))
-        size = np.bincount(sentence[counted], minlength=len(owner))
+        size, every_word = np.bincount(sentence[counted], minlength=len(owner)), np.bincount(sentence, minlength=len(owner))
+        letters = np.bincount(sentence[counted], weights=words.letters[number[counted]], minlength=len(owner))
         bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
         main, sure, every, segments = [], [], [], []
         for i in range(len(texts)):
@@ -259,7 +268,7 @@ def _identify(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBat
             if a == b:
                 main.append(None), sure.append(None), every.append([]), segments.append([])
                 continue
-            lang, confidence, own, top = _judge(score[a:b], size[a:b])
+            lang, confidence, own, top = _judge(score[a:b], size[a:b], every_word[a:b], letters[a:b])
             found = sorted({top, *lang[own].tolist()})
             main.append(LANGUAGES[top])
             sure.append(float(np.average(np.where(lang == top, confidence, 0), weights=size[a:b] + 1e-9)))

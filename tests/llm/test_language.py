@@ -42,6 +42,14 @@ def test_documents_and_segments(spark, fitted):
     assert L.mislabelled(df.where("false"), fitted).count() == 0
 
 
+def test_short_sentences(spark, fitted):
+    """What counts is the distance to the text's own language, for the letters there are; names count as words."""
+    text = "The host guessed the wrong answer. Nobody at the table remembered three letters. "
+    short = ["Кто нашёл?", "Тема: опус.", "Anna notierte Schirm.", "Movzisroz Demmuz.", "Билет!"]
+    _, got = run(spark, fitted, *((text + s, "en") for s in short))
+    assert [sorted(got[i].languages) for i in range(len(short))] == [["en", "ru"], ["en", "ru"], ["de", "en"], ["en"], ["en"]]
+
+
 @pytest.mark.parametrize("label, want", [("ru-RU", "ru"), ("русский", "ru"), ("en_US", "en"), ("es-419", "es"), ("bg", "bg"), (None, ""), (" ", ""), ("und", ""), ("??", ""), ("N/A", "")])
 def test_labels(spark, label, want):
     df = spark.createDataFrame([(label,)], "lang string")
