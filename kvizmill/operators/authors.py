@@ -70,15 +70,19 @@ def _plain_names(field: Column) -> Column:
 
 
 def _listed_names(field: Column) -> Column:
-    """Names of a JSON list of objects or strings, also of one that is cut off."""
+    """Names of a JSON list of objects or strings, also of one that is cut off.
+
+    The strings of the list are taken first; one that has delimiters is split like a field of its own.
+    """
     text = r'"((?:[^"\\]|\\.)*)(?:"|$)'
     keyed = F.regexp_extract_all(field, F.lit(r'"name"\s*:\s*' + text), F.lit(1))
     strings = F.regexp_extract_all(field, F.lit(text), F.lit(1))
     objects = F.regexp_like(field, F.lit(r"^\s*\[?\s*\{"))
-    return F.transform(
+    listed = F.transform(
         F.when(objects, keyed).otherwise(strings),
         lambda s: F.coalesce(F.get(F.from_json(F.concat(F.lit('["'), s, F.lit('"]')), "array<string>"), F.lit(0)), s),
     )
+    return F.flatten(F.transform(listed, lambda s: F.when(F.regexp_like(s, F.lit(_DELIMITER)), _plain_names(s)).otherwise(F.array(s))))
 
 
 def author_names(field: Column) -> Column:

@@ -42,3 +42,16 @@ def test_rows(spark, rows):
 def test_very_long_field(spark):
     df = spark.createDataFrame([(", ".join(f"Имя Ф{'а' * (i % 7)}" for i in range(20_000)),)], "v string")
     assert len(df.select(author_names(F.col("v")).alias("r")).first().r) == 20_000
+
+
+@pytest.mark.parametrize(
+    "field, want",
+    [
+        ('["А. Иванов; Б. Петров"]', ["А. Иванов", "Б. Петров"]),
+        ('["А. Иванов, Б. Петров", "Рехаев, К. М.", "Клуб \\"Сова и Ко\\", Калинец"]', ["А. Иванов", "Б. Петров", "Рехаев, К. М.", 'Клуб "Сова и Ко", Калинец']),
+        ('[{"id": 1, "name": "Иван Тафнук (Кумшино, Штарк) и Эдуард Манр"}]', ["Иван Тафнук (Кумшино, Штарк)", "Эдуард Манр"]),
+    ],
+)
+def test_several_names_in_a_json_string(spark, field, want):
+    df = spark.createDataFrame([(field,)], "v string")
+    assert df.select(author_names(F.col("v")).alias("r")).first().r == want
