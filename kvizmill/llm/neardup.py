@@ -126,8 +126,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _variants(answer: Column) -> Column:
     """Hashes two answers share if they are equal after leaving out at most one letter of each.
 
-    Digits are never left out, and answers of fewer than four letters have no
-    variants. Long answers have their halves instead: one edit leaves one half
+    Digits are never left out. Answers of three letters have only themselves, so
+    they meet those of four that lost a letter; shorter ones have none. Long answers have their halves instead: one edit leaves one half
     as it was.
     """
     n = F.length(answer)
@@ -147,7 +147,7 @@ def _variants(answer: Column) -> Column:
         )
     )
     none = F.array().cast("array<bigint>")
-    return F.array_distinct(F.concat(F.when((n >= 4) & (n <= SHORT_ANSWER + 1), short).otherwise(none), F.when(n > SHORT_ANSWER, halves).otherwise(none)))
+    return F.array_distinct(F.concat(F.when(n == 3, F.array(F.xxhash64(answer))).when((n >= 4) & (n <= SHORT_ANSWER + 1), short).otherwise(none), F.when(n > SHORT_ANSWER, halves).otherwise(none)))
 
 
 def _by_rare_words(large: DataFrame, words: DataFrame) -> DataFrame:

@@ -98,6 +98,15 @@ def test_repeated_rows_of_large_groups(spark, monkeypatch):
     assert brute(rows) <= {tuple(r) for r in N.repeated_questions(df).collect()}
 
 
+def test_short_answers_that_lost_a_letter(spark):
+    """Four letters and three meet; three and three, three and two, or a lost digit don't."""
+    text = "одно и то же слово здесь"
+    pairs = [("снег", "снг"), ("дом", "дым"), ("рак", "ак"), ("1066", "106"), ("Снег", "[с]нг")]
+    rows = [(10 * i + j, f"{text} {'абвгд'[i] * 9} {'абвгд'[i] * 8} {'абвгд'[i] * 7} {'абвгд'[i] * 6} {'абвгд'[i] * 5}", a) for i, p in enumerate(pairs) for j, a in enumerate(p)]
+    df = spark.createDataFrame(rows, "id long, text string, answer string")
+    assert {tuple(r) for r in N.repeated_questions(df).collect()} == {(0, 1), (40, 41)}
+
+
 def test_copies_are_one_class(spark):
     df = spark.createDataFrame([(i, "одно и то же слово здесь", "да") for i in range(50)] + [(99, "одно и то же слово там", "да")], "id long, text string, answer string")
     links, members = N.near_duplicates(df)
