@@ -1,4 +1,4 @@
-"""Text functions, answer and word frequencies, facts (X3-X18, X31-X32, A37-A42, M14, STR6-STR7, S5, L7)."""
+"""Text functions, answer and word frequencies, facts (X3-X7, X9-X10, X12-X18, X31-X32, A37-A42, M14, STR6-STR7, S5, L7)."""
 
 from __future__ import annotations
 
