@@ -44,26 +44,38 @@ def allocate(counted: DataFrame) -> DataFrame:
     at most what there is; the rows still missing from ``sample_rows`` go one
     each to the largest remainders, ties to the smaller key, among those with
     items left. ``short`` is how far the quota stays below the greater of floor
-    and rounded share. If the floors alone exceed the sample, floors win. The
-    windows run over the targets of a plan, a table of its strata, not of items.
+    and rounded share. Where floors lift strata above their shares, the others
+    give up as many rows, in proportion to what they have above their floors, so
+    that the sample isn't exceeded; if the floors alone exceed it, floors win.
+    What a stratum can't give is reported and not made up by the others beyond
+    those single rows, as that would bend the shares. The windows run over the
+    targets of a plan, a table of its strata, not of items.
     """
     ideal = F.col("target_share") * F.col("sample_rows")
     plan = Window.partitionBy("plan_id")
     base = counted.withColumn("_ideal", ideal).withColumn(
         "_base", F.least(F.col("available"), F.greatest(F.col("min_rows"), F.floor("_ideal")))
     )
+    # What is above the floors is cut to what the floors leave; the rows lost by rounding down go to the largest remainders.
+    spare = F.greatest(F.lit(0), F.col("_base") - F.col("min_rows"))
+    over = F.sum("_base").over(plan) - F.col("sample_rows")
+    base = base.withColumn("_spare", spare).withColumn("_over", F.least(F.greatest(F.lit(0), over), F.sum("_spare").over(plan)))
+    kept = F.col("_spare") * (F.sum("_spare").over(plan) - F.col("_over")) / F.sum("_spare").over(plan)
+    kept = F.when(F.col("_over") > 0, kept).otherwise(F.col("_spare").cast("double"))
+    base = base.withColumn("_kept", kept).withColumn("_base", F.col("_base") - F.col("_spare") + F.floor("_kept"))
     base = base.withColumn("_left", F.col("sample_rows") - F.sum("_base").over(plan)).withColumn(
         "_open", (F.col("available") > F.col("_base")) & (F.floor("_ideal") >= F.col("min_rows"))
     )
+    part = F.when(F.col("_over") > 0, F.col("_kept")).otherwise(F.col("_ideal"))
     order = Window.partitionBy("plan_id").orderBy(
-        F.col("_open").desc(), (F.col("_ideal") - F.floor("_ideal")).desc(), F.col("stratum_key")
+        F.col("_open").desc(), (part - F.floor(part)).desc(), F.col("stratum_key")
     )
     # Shares sum to about 1, so fewer rows are missing than there are strata unless items are; those are reported.
     quota = F.col("_base") + F.when(F.col("_open") & (F.row_number().over(order) <= F.col("_left")), 1).otherwise(0)
     return (
         base.withColumn("quota", quota.cast("long"))
         .withColumn("short", F.greatest(F.lit(0), F.greatest(F.col("min_rows"), F.round("_ideal").cast("long")) - F.col("quota")))
-        .drop("_ideal", "_base", "_left", "_open")
+        .drop("_ideal", "_base", "_left", "_open", "_spare", "_over", "_kept")
     )
 
 

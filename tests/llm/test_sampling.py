@@ -57,6 +57,15 @@ def test_quotas(spark):
     assert shortfalls(strata_counts(df.where("false"), targets)).count() == 4
 
 
+def test_floors_are_taken_from_the_others(spark):
+    """Strata lifted to their floors don't make the sample larger, unless the floors alone do."""
+    targets = [(1, "a", 0.6, 1, 20), (1, "b", 0.3, 2, 20), (1, "c", 0.05, 5, 20), (1, "d", 0.05, 4, 20), (2, "a", 0.9, 6, 10), (2, "b", 0.1, 7, 10)]
+    members = [(p, k, i, "x") for p, k, *_ in targets for i in range(50)]
+    counted = strata_counts(spark.createDataFrame(members, MEMBERS), spark.createDataFrame(targets, TARGETS))
+    quotas = {(r.plan_id, r.stratum_key): r.quota for r in allocate(counted).collect()}
+    assert quotas == {(1, "a"): 7, (1, "b"): 4, (1, "c"): 5, (1, "d"): 4, (2, "a"): 6, (2, "b"): 7}
+
+
 def test_hot_stratum_is_sampled_by_smallest_key(spark):
     df = spark.range(20_000).selectExpr("1 AS plan_id", "'a' AS stratum_key", "id AS item_id")
     targets = spark.createDataFrame([(1, "a", 1.0, 0, 500)], TARGETS)
