@@ -7,7 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: A table of at most so many rows is broadcast.
+SMALL_ROWS = 100_000
 
 #: Where the package lies on the driver, and on executors that share its disk or image.
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -30,12 +33,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder all executors share.
 
-    ``spark.checkpoint.dir`` is read from the session. Only a session without
-    one (tests on one machine) gets a folder of its own.
+    It is the one that ``spark.checkpoint.dir`` names, or one that the session
+    was given before. Where neither is set, a session whose executors are
+    threads of this machine gets a folder of its own; on a cluster that is an
+    error, as other machines couldn't read it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="kvizmill-"))
     return named or context.getCheckpointDir()
 
@@ -58,3 +65,20 @@ def keep(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/kvizmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_kept(spark: SparkSession) -> None:
+    """Delete the tables of ``keep``; no DataFrame that reads one may be used after it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "kvizmill-*")) or []:
+        files.delete(status.getPath(), True)
+
+
+def if_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcasting if it has at most ``most`` rows; else as it is, and Spark joins by shuffling.
+
+    The rows are counted, no further than that: ``df`` should be a stored table
+    or cheap.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
