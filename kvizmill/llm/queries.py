@@ -68,7 +68,7 @@ def _strata(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shortfalls(strata_counts(*_strata(spark, sf_dir)))
+    return shortfalls(p6_quotas(spark, sf_dir))
 
 
 def p6_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,16 +123,45 @@ QUERIES = {
     "p10_segments": p10_segments,
 }
 
-#: DuckDB twins of those that SQL can express.
-SQL = {
-    "p6_found": """
-        WITH members AS (
+_MEMBERS = """members AS (
             SELECT DISTINCT t.plan_id, t.stratum_key, q.question_id AS item FROM sample_targets t JOIN question_topics q
             ON t.dimension = 'subcategory' AND q.subcategory_id = t.subcategory_id
             UNION
             SELECT DISTINCT t.plan_id, t.stratum_key, q.id FROM sample_targets t
             JOIN packs p ON t.dimension = 'difficulty' AND t.low_bound <= p.difficulty AND p.difficulty < t.high_bound
-            JOIN questions q ON q.pack_id = p.id)
+            JOIN questions q ON q.pack_id = p.id)"""
+
+#: Quotas by the totals at all turning points, a line drawn between the two that enclose the sample.
+_QUOTAS = f"""{_MEMBERS}, counted AS (
+            SELECT t.plan_id, t.stratum_key, t.target_share, t.min_rows, t.sample_rows, count(m.item) AS available
+            FROM sample_targets t LEFT JOIN members m USING (plan_id, stratum_key) GROUP BY ALL),
+        b AS (SELECT *, target_share AS s, least(min_rows, available)::DOUBLE AS f, available::DOUBLE AS c FROM counted),
+        points AS (SELECT plan_id, f / s AS x FROM b WHERE s > 0 UNION SELECT plan_id, c / s FROM b WHERE s > 0),
+        totals AS (SELECT plan_id, x, sample_rows, sum(least(c, greatest(f, x * s))) AS total
+                   FROM points JOIN b USING (plan_id) GROUP BY ALL),
+        low AS (SELECT plan_id, max(x) AS x0, max(total) AS t0 FROM totals WHERE round(total, 6) <= sample_rows GROUP BY ALL),
+        high AS (SELECT plan_id, min(x) AS x1, min(total) AS t1 FROM totals WHERE round(total, 6) > sample_rows GROUP BY ALL),
+        parts AS (SELECT b.*, least(c, greatest(f, round(coalesce(x0 + coalesce((sample_rows - t0) / (t1 - t0) * (x1 - x0), 0), 0) * s, 6))) AS part
+                  FROM b LEFT JOIN low USING (plan_id) LEFT JOIN high USING (plan_id)),
+        quotas AS (SELECT *, floor(part) + (part > floor(part) AND row_number() OVER (PARTITION BY plan_id
+                   ORDER BY round(part - floor(part), 6) DESC, stratum_key)
+                   <= sample_rows - sum(floor(part)) OVER (PARTITION BY plan_id))::INT AS quota FROM parts)"""
+
+#: DuckDB twins of those that SQL can express.
+SQL = {
+    "p6_quotas": f"""
+        WITH {_QUOTAS}
+        SELECT plan_id, stratum_key, target_share, min_rows::BIGINT AS min_rows, sample_rows, available, quota::BIGINT AS quota,
+            greatest(0, greatest(min_rows, round(target_share * sample_rows)) - quota)::BIGINT AS short,
+            available < greatest(min_rows, target_share * sample_rows) AS out_of_reach FROM quotas""",
+    "p6_sample": f"""
+        WITH {_QUOTAS}, keyed AS (
+            SELECT *, ((item % 2147483647 + 2147483647) % 2147483647 * 1103515245 + 42) % 2147483647 AS k FROM members)
+        SELECT plan_id, stratum_key, item AS item_id FROM keyed JOIN quotas USING (plan_id, stratum_key)
+        QUALIFY row_number() OVER (PARTITION BY plan_id, stratum_key
+                                   ORDER BY (k % 65536 * 48271 + k // 65536) % 2147483647, item) <= quota""",
+    "p6_found": f"""
+        WITH {_MEMBERS}
         SELECT t.plan_id, t.stratum_key FROM sample_targets t LEFT JOIN members m USING (plan_id, stratum_key)
         GROUP BY t.plan_id, t.stratum_key, t.min_rows, t.target_share, t.sample_rows
         HAVING count(DISTINCT m.item) < greatest(t.min_rows::DOUBLE, t.target_share * t.sample_rows)""",
