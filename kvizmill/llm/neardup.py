@@ -3,7 +3,8 @@
 Two questions belong together if their answers are the same but for writing
 and typos, and their texts share at least three fifths of their words.
 
-Candidates are compared within groups of one answer. Each text has a bitmap of
+Candidates are compared within units: texts of one answer, and where these are
+too many, texts of one answer that share rare words. Each text has a bitmap of
 its hashed words; if the words of two texts overlap by t, their bitmaps differ
 in no more than (1 - t) / (1 + t) of the sum of their sizes, so the bit-sliced
 comparison loses no pair, and the exact overlap is only taken of what is left.
@@ -17,21 +18,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvizmill.llm.bitslice import close_pairs
-from kvizmill.llm.names import LOOKALIKES
-from kvizmill.session import keep
+from kvizmill.llm.names import LOOKALIKES, one_edit
+from kvizmill.session import cut, keep
 
 #: Least share of words as a fraction, and bits of a bitmap.
 SHARE, BITS = (3, 5), 256
-#: Groups of more different texts are compared within groups of one answer and one rare word.
+#: Most texts of a unit of comparison; larger groups are split, without loss.
 LARGE_GROUP = 20_000
+#: Parts of a frequent word's rows when they meet its count.
+SALTS = 16
 #: Rows gathered from whole groups before they are compared.
 BATCH_ROWS = 50_000
-#: Answers up to this length are matched by leaving out a letter, longer ones by their halves.
-SHORT_ANSWER = 24
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = dict.fromkeys(map(ord, "̀́­​‌‍⁠﻿")) | {ord("ё"): "е", ord("Ё"): "Е"}
@@ -123,102 +124,188 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(held)
 
 
-def _variants(answer: Column) -> Column:
-    """Hashes two answers share if they are equal after leaving out at most one letter of each.
+_BASE = 0x9E3779B97F4A7C15
 
-    Digits are never left out. Answers of three letters have only themselves, so
-    they meet those of four that lost a letter; shorter ones have none. Long answers have their halves instead: one edit leaves one half
-    as it was.
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, n, v): hashes two answers share if they are equal after leaving out at most one letter of each.
+
+    Digits are never left out. Answers of three letters have only themselves,
+    so they meet those of four that lost a letter; shorter ones have none. The
+    hash is a sum of letters times powers of a base, so that all variants of an
+    answer come from one running sum, in time and space of its length.
     """
-    n = F.length(answer)
-    left_out = F.transform(
-        F.filter(F.sequence(F.lit(1), n), lambda i: ~F.substring(answer, i, F.lit(1)).between("0", "9")),
-        lambda i: F.xxhash64(F.concat(F.substring(answer, F.lit(1), i - 1), F.substring(answer, i + 1, n))),
+    back = np.uint64(pow(_BASE, -1, 1 << 64))
+    for batch in batches:
+        answers = batch.column(1).to_pylist()
+        length = np.array([len(a) for a in answers], dtype=np.int64)
+        codes = np.frombuffer("".join(answers).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        start = np.cumsum(length) - length
+        owner = np.repeat(np.arange(len(answers)), length)
+        place = np.arange(len(codes)) - start[owner]
+        powers = np.ones(int(length.max(initial=0)) + 1, dtype=np.uint64)
+        np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(powers) - 1, _BASE, dtype=np.uint64)], out=powers)
+        terms = _mix(codes + np.uint64(1)) * powers[place]
+        running = np.r_[np.uint64(0), np.cumsum(terms, dtype=np.uint64)]
+        before, whole = running[:-1] - running[start[owner]], running[start + length] - running[start]
+        without = before + (whole[owner] - before - terms) * back
+        lost = (length[owner] >= 4) & ~((codes >= 48) & (codes <= 57))
+        own = np.flatnonzero(length >= 3)
+        row = np.concatenate([owner[lost], own])
+        value = np.concatenate([without[lost], whole[own]])
+        left = np.concatenate([length[owner[lost]] - 1, length[own]]).astype(np.uint64)
+        for at in range(0, len(row), 200_000):
+            part = slice(at, at + 200_000)
+            take = pa.array(row[part])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(2).take(take), pa.array(_mix(value[part] + left[part] * np.uint64(_BASE)).view(np.int64))], names=["grp", "n", "v"]
+            )
+
+
+def _typos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, to, x, y) whose answers x and y are one typo apart, digits untouched."""
+    for b in batches:
+        ok = [one_edit(x, y) and [c for c in x if "0" <= c <= "9"] == [c for c in y if "0" <= c <= "9"] for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        yield b.filter(pa.array(ok, pa.bool_())).select([0, 1])
+
+
+def _visits(answers: DataFrame) -> DataFrame:
+    """``grp, to``: the answer with fewer texts visits the group of each one that is a typo away."""
+    variant = cut(answers.select("grp", "answer", "n").mapInArrow(_variants, "grp long, n long, v long"))
+    other = variant.select(F.col("grp").alias("to"), F.col("n").alias("m"), "v")
+    near = (
+        variant.join(other, "v")
+        .where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("grp") < F.col("to"))))
+        .select("grp", "to")
+        .distinct()
     )
-    short = F.array_append(left_out, F.xxhash64(answer))
-    digits = F.regexp_replace(answer, "[^0-9]", "")
-    halves = F.flatten(
-        F.transform(
-            F.array(F.floor(n / 2), F.floor((n - 1) / 2)),
-            lambda h: F.array(
-                F.xxhash64(F.lit("first"), digits, F.substring(answer, F.lit(1), h.cast("int"))),
-                F.xxhash64(F.lit("last"), digits, F.substring(answer, (n - h + 1).cast("int"), h.cast("int"))),
-            ),
-        )
+    spelt = answers.select("grp", "answer")
+    return (
+        near.join(spelt.withColumnRenamed("answer", "x"), "grp")
+        .join(spelt.select(F.col("grp").alias("to"), F.col("answer").alias("y")), "to")
+        .select("grp", "to", "x", "y")
+        .mapInArrow(_typos, "grp long, to long")
     )
-    none = F.array().cast("array<bigint>")
-    return F.array_distinct(F.concat(F.when(n == 3, F.array(F.xxhash64(answer))).when((n >= 4) & (n <= SHORT_ANSWER + 1), short).otherwise(none), F.when(n > SHORT_ANSWER, halves).otherwise(none)))
 
 
-def _by_rare_words(large: DataFrame, words: DataFrame) -> DataFrame:
-    """Rows of large groups, once for each of the rare words one of which two similar texts must share.
+def _over(rows: DataFrame, most: int) -> DataFrame:
+    return rows.groupBy("grp").agg(F.count("*").alias("held")).where(F.col("held") > most)
+
+
+def _split(large: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """Rows of large groups in units of at most ``most`` texts; two similar texts of a group share a unit.
 
-    Of n words at least 3n/5 are shared; so two similar texts share one of the
-    n - ceil(3n/5) + 1 rarest, by one order of all words. Words are numbered
-    within a text, so repeated rows of ``words`` count once.
+    Of n words at least c = ceil(3n/5) are shared; so the k-th rarest word that
+    two similar texts share, by one order of all words, is among the n - c + k
+    rarest of each. A large group is split by the first shared word, a part
+    that is still too large by the first and the second (a text with one word
+    resembles no other, so both exist), and what is too large then is cut into
+    blocks, each two of which are a unit: only texts that share answer and two
+    rare words and are many all the same are compared block by block.
     """
-    rows = large.join(words.select("text_key", "words").dropDuplicates(["text_key"]), "text_key")
-    each = rows.select("grp", "size", "id", "bitmap", "text_key", F.explode("words").alias("word"))
-    count = each.groupBy("word").agg(F.count("*").alias("_n"))
-    order = F.row_number().over(Window.partitionBy("grp", "text_key").orderBy("_n", "word"))
-    prefix = F.col("size") - F.ceil(F.col("size") * F.lit(SHARE[0]) / F.lit(SHARE[1])) + 1
-    return each.join(count, "word").withColumn("_k", order).where(F.col("_k") <= prefix).select(
-        F.xxhash64("grp", "word").alias("grp"), "size", "id", "bitmap"
+    rows = large.join(texts.select("tid", "words"), "tid")
+    each = rows.select("grp", "size", "tid", "bitmap", F.explode("words").alias("word")).withColumn("salt", F.pmod("tid", F.lit(SALTS)))
+    count = each.groupBy("word").agg(F.count("*").alias("_n")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    rest = F.col("size") - F.ceil(F.col("size") * F.lit(SHARE[0]) / F.lit(SHARE[1])).cast("int")
+    ordered = (
+        each.join(count, ["word", "salt"])
+        .groupBy("grp", "size", "tid", "bitmap")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "word"))), lambda e: e["word"]).alias("rare"))
+        .withColumn("rare", F.slice("rare", 1, rest + 2))
     )
+    first = keep(
+        ordered.select("grp", "size", "tid", "bitmap", "rare", F.posexplode(F.slice("rare", 1, rest + 1)).alias("k", "word")).select(
+            F.xxhash64("grp", "word").alias("grp"), "size", "tid", "bitmap", F.slice("rare", F.col("k") + 2, F.size("rare")).alias("after")
+        )
+    )
+    over = cut(_over(first, most))
+    fits = first.join(over, "grp", "left_anti").select("grp", "size", "tid", "bitmap")
+    second = keep(
+        first.join(over.select("grp"), "grp", "left_semi")
+        .select("grp", "size", "tid", "bitmap", F.explode("after").alias("word"))
+        .select(F.xxhash64("grp", "word").alias("grp"), "size", "tid", "bitmap")
+    )
+    over = cut(_over(second, most))
+    blocks = F.ceil(F.col("held") / F.lit(max(1, most // 2))).cast("long")
+    paired = (
+        second.join(over, "grp")
+        .withColumn("blocks", blocks)
+        .withColumn("i", F.pmod(F.xxhash64("tid"), "blocks"))
+        .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select(F.xxhash64("grp", F.least("i", "j"), F.greatest("i", "j")).alias("grp"), "size", "tid", "bitmap")
+    )
+    return fits.unionByName(second.join(over, "grp", "left_anti").select("grp", "size", "tid", "bitmap")).unionByName(paired)
 
 
-def near_duplicates(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, members): links between different texts, and the class of exact copies of each question.
-
-    ``questions`` has ``id, text, answer``; other columns are left behind.
-    members: ``id, rep``, where questions of the same words and answer have the
-    smallest of their ids as ``rep``. links: ``a, b``, pairs of different
-    ``rep``s that share three fifths of their words, with the same answer.
-    Rows without an id are left out; null texts and answers count as empty, and
-    a text without words resembles no other. An id with several texts is a
-    member of several classes.
-    """
+def _units(texts: DataFrame, most: int) -> DataFrame:
+    """``grp, size, tid, bitmap``: each text in all units in which it has to be compared."""
+    answers = cut(texts.groupBy("answer").agg(F.count("*").alias("n")).withColumn("grp", F.xxhash64("answer")))
+    visits = cut(_visits(answers))
+    here = texts.select(F.xxhash64("answer").alias("grp"), "size", "tid", "bitmap")
+    guests = here.join(visits, "grp").select(F.col("to").alias("grp"), "size", "tid", "bitmap")
+    placed = here.unionByName(guests)
+    # A group holds its own texts and its guests.
+    brought = visits.join(answers.select("grp", "n"), "grp").select(F.col("to").alias("grp"), "n")
+    held = answers.select("grp", "n").unionByName(brought).groupBy("grp").agg(F.sum("n").alias("n"))
+    over = cut(held.where(F.col("n") > most).select("grp"))
+    if over.limit(1).count():
+        large = placed.join(over, "grp", "left_semi")
+        placed = placed.join(over, "grp", "left_anti").unionByName(_split(large, texts, most))
+    return placed
+
+
+def _classes(questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, members, texts) by ``tid``, the number of a text: its words and its answer."""
     rows = keep(
         questions.where(F.col("id").isNotNull())
         .select(F.col("id").cast("long"), F.col("text").cast("string"), F.col("answer").cast("string"))
         .mapInArrow(_prepare, "id long, answer string, words array<int>, size int, bitmap binary, text_key binary")
         .where("size > 0")
     )
-    # One row for each text, whatever the number of its copies.
-    texts = keep(
-        rows.groupBy("text_key").agg(
-            F.min("id").alias("id"), F.first("answer").alias("answer"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")
-        )
-    )
-    members = rows.select("id", "text_key").distinct().join(texts.select("text_key", F.col("id").alias("rep")), "text_key").select("id", "rep")
-
-    own = F.xxhash64("answer").alias("grp")
-    answers = texts.groupBy("answer").agg(F.count("*").alias("n"))
-    variant = answers.select(F.xxhash64("answer").alias("grp"), "n", F.explode(_variants(F.col("answer"))).alias("v"))
-    other = variant.select(F.col("grp").alias("to"), F.col("n").alias("m"), "v")
-    # The rows of the rarer answer visit the group of the other.
-    visits = (
-        variant.join(other, "v")
-        .where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("grp") < F.col("to"))))
-        .select("grp", "to")
+    # One row for each text, whatever the number of its copies. Numbers are fixed by writing them.
+    firsts = [F.first(c).alias(c) for c in ("answer", "words", "size", "bitmap")]
+    texts = keep(rows.groupBy("text_key").agg(F.min("id").alias("id"), *firsts).withColumn("tid", F.monotonically_increasing_id()))
+    members = rows.select("id", "text_key").distinct().join(texts.select("text_key", "tid", F.col("id").alias("rep")), "text_key").select("id", "rep", "tid")
+    found = (
+        _units(texts, LARGE_GROUP)
+        .repartition("grp")
+        .sortWithinPartitions("grp", "size", "tid")
+        .mapInArrow(_compare, "a long, b long")
+        .where("a < b")
         .distinct()
     )
-    here = texts.select(own, "size", "id", "bitmap", "text_key")
-    guests = here.join(visits, "grp").select(F.col("to").alias("grp"), "size", "id", "bitmap", "text_key")
-    placed = here.unionByName(guests)
-    sizes = answers.select(F.xxhash64("answer").alias("grp"), "n").where(F.col("n") > LARGE_GROUP)
-    if sizes.limit(1).count():
-        large = placed.join(sizes.select("grp"), "grp", "left_semi")
-        placed = placed.join(sizes.select("grp"), "grp", "left_anti").drop("text_key").unionByName(_by_rare_words(large, rows))
-    found = placed.select("grp", "size", "id", "bitmap").repartition("grp").sortWithinPartitions("grp", "size", "id").mapInArrow(_compare, "a long, b long").where("a < b").distinct()
-
-    words = rows.select("id", "words")
-    both = found.join(words.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(
-        words.select(F.col("id").alias("b"), F.col("words").alias("y")), "b"
+    words = texts.select("tid", "words")
+    both = found.join(words.select(F.col("tid").alias("a"), F.col("words").alias("x")), "a").join(
+        words.select(F.col("tid").alias("b"), F.col("words").alias("y")), "b"
     )
     common = F.size(F.array_intersect("x", "y"))
     enough = common * SHARE[1] >= (F.size("x") + F.size("y") - common) * SHARE[0]
-    return both.where(enough).select("a", "b").distinct(), members
+    return both.where(enough).select("a", "b"), members, texts
+
+
+def near_duplicates(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, members): links between different texts, and the class of exact copies of each question.
+
+    ``questions`` has ``id, text, answer``; other columns are left behind.
+    members: ``id, rep, tid``, where questions of the same words and answer
+    have one ``tid``, and ``rep`` is the smallest of their ids. links: ``a, b``,
+    pairs a < b of different ``rep``s whose texts share three fifths of their
+    words, with the same answer. Answers are the same if their keys are equal
+    or one typo apart, or both one typo from a third answer that has more texts.
+    Rows without an id are left out; null texts and answers count as empty, and
+    a text without words resembles no other. An id with several texts is a
+    member of several classes, and stands in ``links`` for each it represents.
+    """
+    links, members, texts = _classes(questions)
+    of = texts.select("tid", "id")
+    ids = links.join(of.select(F.col("tid").alias("a"), F.col("id").alias("i")), "a").join(of.select(F.col("tid").alias("b"), F.col("id").alias("j")), "b")
+    return ids.where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct(), members
 
 
 def repeated_questions(questions: DataFrame) -> DataFrame:
@@ -227,10 +314,10 @@ def repeated_questions(questions: DataFrame) -> DataFrame:
     Copies are expanded here, as the pairs of a group are asked for;
     ``near_duplicates`` has them as classes.
     """
-    links, members = near_duplicates(questions)
+    links, members, _ = _classes(questions)
     members = keep(members)
-    one = members.select(F.col("rep").alias("a"), F.col("id").alias("i"))
-    two = members.select(F.col("rep").alias("b"), F.col("id").alias("j"))
+    one = members.select(F.col("tid").alias("a"), F.col("id").alias("i"))
+    two = members.select(F.col("tid").alias("b"), F.col("id").alias("j"))
     across = links.join(one, "a").join(two, "b").select("i", "j")
     within = one.join(two, F.col("a") == F.col("b")).where("i < j").select("i", "j")
     return (

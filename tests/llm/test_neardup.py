@@ -107,6 +107,45 @@ def test_short_answers_that_lost_a_letter(spark):
     assert {tuple(r) for r in N.repeated_questions(df).collect()} == {(0, 1), (40, 41)}
 
 
+def test_long_answers_are_compared(spark):
+    """Long answers that share a beginning are different; a typo at any place of a long one is none."""
+    text, long = "одно и то же слово здесь", "первое второе третье четвертое пятое шестое седьмое"
+    answers = ["Александр Сергеевич Пушкин писатель", "Александр Сергеевич Грибоедов поэт", "Александр Сергеевич Даргомыжский пп"]
+    answers += [long, long[:20] + long[21:], long[:-2] + long[-1] + long[-2], long[::-1], "я" * 3000, "я" * 2999]
+    df = spark.createDataFrame([(i, f"{text} раз{i}", a) for i, a in enumerate(answers)], "id long, text string, answer string")
+    assert {tuple(r) for r in N.repeated_questions(df).collect()} == {(3, 4), (3, 5), (4, 5), (7, 8)}
+
+
+def test_an_id_with_two_texts(spark):
+    one, two = "первый вопрос о старом море и ветре", "совсем другие слова про новый город"
+    df = spark.createDataFrame([(1, one, "да"), (1, two, "да"), (2, one, "да"), (3, two, "да")], "id long, text string, answer string")
+    assert {tuple(r) for r in N.repeated_questions(df).collect()} == {(1, 2), (1, 3)}
+
+
+@pytest.mark.parametrize("shared, most", [(3, 2000), (9, 300)])
+def test_no_unit_holds_a_template(spark, shared, most):
+    """A template answer with many texts comes in units of bounded size, and no link is lost."""
+    rng = random.Random(7)
+    rows = [(i, " ".join([*(f"общее{k}" for k in range(shared)), *(f"слово{rng.randrange(4000)}" for _ in range(7))]), "нет") for i in range(50_000 if shared == 3 else 1500)]
+    planted = [(100_000 + i, t + " ещё", a) for i, t, a in rows[:40]]
+    df = spark.createDataFrame(rows + planted, "id long, text string, answer string")
+    texts = N._classes(df.where("false"))[2]  # the schema
+    assert texts.count() == 0
+    prepared = df.select("id", "text", "answer").mapInArrow(N._prepare, "id long, answer string, words array<int>, size int, bitmap binary, text_key binary")
+    units = N._units(N.keep(prepared.withColumn("tid", N.F.monotonically_increasing_id())), most)
+    sizes = [r["count"] for r in units.groupBy("grp").count().collect()]
+    assert max(sizes) <= most * 1.2 and len(sizes) > 1
+    N_large, N.LARGE_GROUP = N.LARGE_GROUP, most
+    try:
+        got = {tuple(r) for r in N.repeated_questions(df).collect()}
+    finally:
+        N.LARGE_GROUP = N_large
+    assert {(i, 100_000 + i) for i in range(40)} <= got
+    if shared == 9:
+        every = [(i, words(t)) for i, t, _ in rows + planted]
+        assert got == {(a, b) for (a, x), (b, y) in combinations(every, 2) if 5 * len(x & y) >= 3 * len(x | y)}
+
+
 def test_copies_are_one_class(spark):
     df = spark.createDataFrame([(i, "одно и то же слово здесь", "да") for i in range(50)] + [(99, "одно и то же слово там", "да")], "id long, text string, answer string")
     links, members = N.near_duplicates(df)
