@@ -12,7 +12,12 @@ RANGES = 64
 
 
 def positions(records: DataFrame, contributor: str, order: list[Column], ranges: int | None = None) -> DataFrame:
-    """``records`` with ``position``: place within its contributor, from 1, in the given order.
+    """``records`` with ``position``: place within its contributor, from 1, in the given order."""
+    return counted_positions(records, contributor, order, ranges)[0]
+
+
+def counted_positions(records: DataFrame, contributor: str, order: list[Column], ranges: int | None = None) -> tuple[DataFrame, int]:
+    """``positions`` and the number of records.
 
     A global range sort by contributor and order, exact places from prefix sums
     of partition sizes, less the place at which the contributor starts. A
@@ -42,7 +47,7 @@ def positions(records: DataFrame, contributor: str, order: list[Column], ranges:
     runs = runs.select(F.col("_range").alias("_of"), "_who", "_before", first.alias("_first"))
     here = (F.col("_range") == F.col("_of")) & F.col(contributor).eqNullSafe(F.col("_who"))
     placed = ordered.join(runs, here).withColumn("position", F.col("_before") + F.col("_nth") - F.col("_first") + 1)
-    return placed.drop("_at", "_range", "_nth", "_of", "_who", "_before", "_first")
+    return placed.drop("_at", "_range", "_nth", "_of", "_who", "_before", "_first"), before
 
 
 def over_cap(posts: DataFrame, parts: int = 25) -> DataFrame:
@@ -59,6 +64,5 @@ def over_cap(posts: DataFrame, parts: int = 25) -> DataFrame:
         .groupBy("channel_id", "post_id")
         .agg(F.max("views").alias("views"))
     )
-    placed = positions(once, "channel_id", [F.col("views").desc_nulls_last(), F.col("post_id").asc()])
-    cap = placed.count() // parts
-    return placed.where(F.col("position") > cap).select("channel_id", "post_id")
+    placed, n = counted_positions(once, "channel_id", [F.col("views").desc_nulls_last(), F.col("post_id").asc()])
+    return placed.where(F.col("position") > n // parts).select("channel_id", "post_id")
