@@ -2,10 +2,10 @@
 
 Names are taken apart into a key (surname, or all words of the organisation's
 name, in any order) and what else tells entities apart (given name, kind and
-town of the organisation). Keys are
-compared as tf-idf vectors of character n-grams by a sparse cosine join, and
-the names of similar keys are grouped by average-linkage clustering in which
-names that can't be the same are never joined.
+town of the organisation). Keys are tf-idf vectors of character n-grams; a
+distributed sparse join gives each key its top n others by cosine, a check of
+the letters follows, and names are grouped by average linkage on the cosines,
+in which names that can't be the same are never joined.
 """
 
 from __future__ import annotations
@@ -17,15 +17,15 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvizmill.session import cut
 
-#: Least cosine of two keys that are compared further, and length of the n-grams.
-COSINE, GRAM = 0.3, 2
-#: Least average similarity at which two groups of names are joined.
+#: Least cosine at which a pair of keys, and least average similarity at which two groups of names are joined.
 LINKAGE = 0.45
+#: Longest n-grams (all shorter ones count too), and partners a key keeps in the join.
+GRAM, TOP = 2, 20
 
 #: Latin letters that look like Cyrillic ones.
 LOOKALIKES = str.maketrans("aceopxykmtbhiABCEHKMOPTXY", "асеорхукмтвніАВСЕНКМОРТХУ")
@@ -253,137 +253,208 @@ def _same_town(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     return not a or not b or any(x == y or min(len(x), len(y)) > 3 and one_edit(x, y) for x in a for y in b)
 
 
-def _grams(key: str) -> set[str]:
-    words = [f"^{w}$" for w in key.split(" ")]
-    return {w[i : i + GRAM] for w in words for i in range(max(1, len(w) - GRAM + 1))}
-
-
 @functools.lru_cache(100_000)
-def _spelling(a: str, b: str) -> float:
-    """How alike two keys are written, from 0 to 1; -1 if they can't be the same.
+def _letters(a: str, b: str) -> int:
+    """Whether two keys may be spellings of one by their letters: 1 yes, 0 not by themselves, -1 never in one group.
 
-    Of several words, each of the shorter key must have its own in the other.
+    Words of six letters or more may be two edits apart, shorter ones one, those
+    of up to three none; numbers may not differ. Of several words, each of the
+    shorter key must have its own in the other; words in common beside
+    different ones make two names.
     """
     if a == b:
-        return 1.0
+        return 1
     if " " in a or " " in b:
         one, other = sorted((a.split(" "), b.split(" ")), key=len)
-        left, own = list(other), []
+        left, met = list(other), 0
         for w in sorted(one, key=len, reverse=True):
-            match = max(left, key=lambda v: _spelling(*sorted((w, v))))
-            alike = _spelling(*sorted((w, match)))
-            if alike >= LINKAGE:
-                own.append(alike)
+            match = min((v for v in left if _letters(*sorted((w, v))) > 0), key=lambda v: (v != w, edits(w, v), v), default=None)
+            if match is not None:
+                met += 1
                 left.remove(match)
-        if len(own) < len(one):
-            # Two parts of one name may meet in the whole; words in common beside different ones make two names.
-            return -1.0 if own else 0.0
-        return min(own) * (1 - 0.1 * sum(map(len, left)) / sum(map(len, other)))
+        return 1 if met == len(one) else -1 if met else 0
     if any(c.isdigit() for c in a + b):
-        return -1.0
-    x, y = _grams(a), _grams(b)
-    shared = len(x & y) / (len(x) * len(y)) ** 0.5
-    if one_edit(a, b):
-        return max(0.55, shared) if min(len(a), len(b)) > 3 else -1.0
-    # Two typos of one word are two edits apart; short words so far apart are others.
-    if min(len(a), len(b)) <= 5:
-        return -1.0
-    # Spellings further apart may meet in a third one, but are no reason to join.
-    return shared if edits(a, b) <= 2 else min(shared, LINKAGE - 0.01)
-
-
-def _cluster(group: pd.DataFrame) -> pd.DataFrame:
-    """Average-linkage clusters of the names of one group of similar keys.
-
-    Names that say the same (key and given name) start as one item.
+        return -1
+    short = min(len(a), len(b))
+    return int(short > 3 and (one_edit(a, b) or short > 5 and edits(a, b) <= 2))
+
+
+class _Group:
+    """A group of names: number and sum of key vectors, for each way the rest is given and each number of words."""
+
+    def __init__(self, fact: tuple, key: str, vector: dict[str, float]):
+        words = key.count(" ")
+        self.sort, self.words, self.keys = fact[0], words, {key}
+        self.sums = {(fact, words): (1, dict(vector))}
+
+    def add(self, other: _Group) -> None:
+        self.words = max(self.words, other.words)
+        self.keys |= other.keys
+        for part, (n, vector) in other.sums.items():
+            before, mine = self.sums.get(part, (0, {}))
+            for g, w in vector.items():
+                mine[g] = mine.get(g, 0.0) + w
+            self.sums[part] = before + n, mine
+
+
+def _average(a: _Group, b: _Group) -> float:
+    """Average similarity of the names of two groups, cosine times agreement of the rest; 0 if two of them can't be the same.
+
+    The sum of all cosines between two groups is the product of their sums.
+    Names of organisations that leave words out have no part in the average of
+    a group that has fuller ones.
     """
-    group = group.sort_values(["uses", "name"], ascending=[False, True])
-    facts: dict[tuple, list[str]] = {}
-    for name, sort, key, how, given, towns in group[["name", "sort", "key", "how", "given", "towns"]].itertuples(index=False):
-        facts.setdefault((sort, key, how, tuple(given), tuple(towns)), []).append(name)
-    items = list(facts)
-    n = len(items)
-
-    def similarity(i: int, j: int) -> float:
-        a, b = items[i], items[j]
-        if a[0] != b[0] or not _same_town(a[4], b[4]):
-            return -1.0
-        given = _compatible((a[2], a[3]), (b[2], b[3]))
-        if not given:
-            return -1.0
-        spelling = _spelling(*sorted((a[1], b[1])))
-        return given * spelling if spelling >= 0 else -1.0
-
-    unclear: dict[int, list[int]] = {}
-    # Sums of similarities between clusters; pairs with members that can't be the same have none and never will.
-    sums: dict[int, dict[int, float]] = {i: {} for i in range(n)}
-    for i in range(n):
-        for j in range(i):
-            s = similarity(i, j)
-            if s >= 0:
-                sums[i][j] = sums[j][i] = s
-    # A name that says less (fewer words, no town) and fits two that can't be the same stands for neither.
-    says = [(len(i[1].split(" ")), bool(i[4])) for i in items]
-    for i in range(n):
-        if items[i][0] == "o":
-            fuller = [j for j in sums[i] if says[j] != says[i] and all(x >= y for x, y in zip(says[j], says[i]))]
-            if any(k not in sums[j] for j in fuller for k in fuller if j < k):
-                unclear[i] = fuller
-    for i, fuller in unclear.items():
-        for j in fuller:
-            sums[i].pop(j, None)
-            sums[j].pop(i, None)
-    member = {i: [i] for i in range(n)}
-    best = [(-s, j, i, 1, 1) for i, row in sums.items() for j, s in row.items() if j < i]
-    heapq.heapify(best)
-    while best and -best[0][0] >= LINKAGE:
-        _, i, j, of_i, of_j = heapq.heappop(best)
-        if len(member.get(i, ())) != of_i or len(member.get(j, ())) != of_j:
-            continue  # one of them has grown or gone since
-        member[i] += member.pop(j)
-        gone, old = sums.pop(j), sums[i]
-        sums[i] = {k: old[k] + gone[k] for k in old.keys() & gone.keys()}
-        for k in (old.keys() | gone.keys()) - {i, j}:
-            sums[k].pop(j, None)
-            sums[k].pop(i, None)
-        for k, s in sums[i].items():
-            sums[k][i] = s
-            x, y = min(i, k), max(i, k)
-            heapq.heappush(best, (-s / (len(member[x]) * len(member[y])), x, y, len(member[x]), len(member[y])))
-    out = [(min(facts[items[m[0]]]), name) for m in member.values() for k in m for name in facts[items[k]]]
-    return pd.DataFrame(out, columns=["entity", "name"])
+    if a.sort == "o" and any(_letters(*sorted((x, y))) < 0 for x in a.keys for y in b.keys):
+        return 0.0
+    total, pairs = 0.0, 0
+    for (f, words), (n, x) in a.sums.items():
+        for (g, others), (m, y) in b.sums.items():
+            agree = _agreement(f, g)
+            if not agree:
+                return 0.0
+            if words == a.words and others == b.words:
+                small, large = (x, y) if len(x) < len(y) else (y, x)
+                total += agree * sum(w * large[k] for k, w in small.items() if k in large)
+                pairs += n * m
+    return total / pairs
+
+
+@functools.lru_cache(200_000)
+def _agreement(a: tuple, b: tuple) -> float:
+    """How well the rests (sort, how, given, towns) of two names agree; 0 if they can't be the same."""
+    if a[0] != b[0] or not _same_town(a[3], b[3]):
+        return 0.0
+    return _compatible(a[1:3], b[1:3])
 
 
-def similar_keys(keys: DataFrame) -> DataFrame:
-    """``a, b, cosine``: pairs a < b of different ``key``s that are at least COSINE similar.
+def _cluster(names: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """Average-linkage clusters of the names of one component of similar keys.
 
-    Prefix filter: of each vector the rarest n-grams are indexed, as far as the
-    rest of it can't reach the threshold alone. A pair above the threshold
-    shares one of these, so no link is lost, and n-grams that many keys share
-    are hardly ever indexed.
+    Names that say the same (key and rest) start as one item. Only groups with
+    a pair in ``pairs`` or a key in common are tried; the average is of all
+    their names. An entry of the queue is computed again when it comes up after
+    one of its groups has grown: as an average of averages it can't have become
+    more than the entries it comes from, so the largest is always met first.
     """
-    of_word = lambda w: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) + 2 - GRAM + 1)),
-        lambda i: F.substring(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(GRAM)),
+    names = names.sort_values(["uses", "name"], ascending=[False, True])
+    spelt: dict[tuple, list[str]] = {}
+    vectors: dict[str, dict[str, float]] = {}
+    for name, sort, key, how, given, towns, entries in names[["name", "sort", "key", "how", "given", "towns", "entries"]].itertuples(index=False):
+        spelt.setdefault((key, (sort, how, tuple(given), tuple(towns))), []).append(name)
+        if key not in vectors:
+            vectors[key] = {} if entries is None else {e["gram"]: e["w"] for e in entries}
+    items = list(spelt)
+    groups = {i: _Group(fact, key, vectors[key]) for i, (key, fact) in enumerate(items)}
+    of_key: dict[str, list[int]] = {}
+    for i, (key, _) in enumerate(items):
+        of_key.setdefault(key, []).append(i)
+    edges: dict[tuple[int, int], float] = {}
+    for key, mine in of_key.items():
+        for k, i in enumerate(mine):
+            for j in mine[:k]:
+                agree = _agreement(items[i][1], items[j][1])
+                if agree >= LINKAGE:
+                    edges[j, i] = agree
+    for a, b, cosine in pairs[["a", "b", "cosine"]].itertuples(index=False):
+        for i in of_key.get(a, ()):
+            for j in of_key.get(b, ()):
+                s = cosine * _agreement(items[i][1], items[j][1])
+                if s >= LINKAGE:
+                    edges[min(i, j), max(i, j)] = s
+    edges = _without_unclear(items, edges)
+    root = list(range(len(items)))
+    grown = [0] * len(items)
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    queue = [(-round(s, 9), i, j, 0, 0) for (i, j), s in edges.items()]
+    heapq.heapify(queue)
+    tried = set()
+    while queue:
+        s, i, j, of_i, of_j = heapq.heappop(queue)
+        i, j = sorted((top(i), top(j)))
+        if i == j:
+            continue
+        if (of_i, of_j) != (grown[i], grown[j]):
+            now = (i, j, grown[i], grown[j])
+            if now not in tried:
+                tried.add(now)
+                s = _average(groups[i], groups[j])
+                if s >= LINKAGE:
+                    heapq.heappush(queue, (-round(s, 9), *now))
+            continue
+        groups[i].add(groups.pop(j))
+        root[j] = i
+        grown[i] += 1
+    found: dict[int, list[int]] = {}
+    for i in range(len(items)):
+        found.setdefault(top(i), []).append(i)
+    out = [(min(spelt[items[m[0]]]), name) for m in found.values() for k in m for name in spelt[items[k]]]
+    return pd.DataFrame(out, columns=["entity", "name"])
+
+
+def _without_unclear(items: list[tuple], edges: dict[tuple[int, int], float]) -> dict[tuple[int, int], float]:
+    """Edges but those of organisations that say less (fewer words, no town) and fit two that can't be the same: they stand for neither."""
+    says = [(len(key.split(" ")), bool(fact[3])) for key, fact in items]
+    fuller: dict[int, list[int]] = {}
+    for pair in edges:
+        for i, j in (pair, pair[::-1]):
+            if items[i][1][0] == "o" and says[j] != says[i] and all(x >= y for x, y in zip(says[j], says[i])):
+                fuller.setdefault(i, []).append(j)
+
+    def differ(j: int, k: int) -> bool:
+        return not _agreement(items[j][1], items[k][1]) or _letters(*sorted((items[j][0], items[k][0]))) < 1
+
+    unclear = {i for i, others in fuller.items() if any(differ(j, k) for n, j in enumerate(others) for k in others[:n])}
+    return {(i, j): s for (i, j), s in edges.items() if not (i in unclear and j in fuller[i] or j in unclear and i in fuller[j])}
+
+
+def key_vectors(keys: DataFrame) -> DataFrame:
+    """``key, entries``: the n-grams of each different ``key`` of up to GRAM letters, rarest first, with tf-idf weights of norm 1."""
+    of_word = lambda w: F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.lit(GRAM)),
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) + 3 - n)), lambda i: F.concat(n.cast("string"), F.substring(F.concat(F.lit("^"), w, F.lit("$")), i, n))
+            ),
+        )
     )
-    grams = F.array_distinct(F.flatten(F.transform(F.split("key", " "), of_word)))
-    each = keys.select("key").distinct().select("key", F.explode(grams).alias("gram"))
+    once = keys.select("key").distinct()
+    grams = F.array_except(F.array_distinct(F.flatten(F.transform(F.split("key", " "), of_word))), F.array(F.lit("1^"), F.lit("1$")))
+    each = once.select("key", F.explode(grams).alias("gram"))
     df = each.groupBy("gram").agg(F.count("*").alias("df"))
-    total = keys.select("key").distinct().count()
-    idf = each.join(df, "gram").withColumn("w", F.log1p(F.lit(float(total)) / F.col("df")))
+    weighed = each.join(df, "gram").withColumn("w", F.log1p(F.lit(float(once.count())) / F.col("df")))
     entry = F.struct((-F.col("w")).alias("rare"), "gram", "w")
-    vectors = cut(
-        idf.groupBy("key")
+    return (
+        weighed.groupBy("key")
         .agg(F.sort_array(F.collect_list(entry)).alias("entries"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        .withColumn("entries", F.transform("entries", lambda e: F.struct(e["gram"].alias("gram"), (e["w"] / F.col("norm")).alias("w"))))
+        .select("key", F.transform("entries", lambda e: F.struct(e["gram"].alias("gram"), (e["w"] / F.col("norm")).alias("w"))).alias("entries"))
     )
+
+
+def similar_keys(vectors: DataFrame, top: int | None = TOP) -> DataFrame:
+    """``a, b, cosine``: pairs a < b of different keys of ``key_vectors`` that are at least LINKAGE similar.
+
+    Prefix filter: of each vector the rarest n-grams are indexed, as far as the
+    rest of it can't reach the threshold alone. A pair above the threshold
+    shares one of these, so no link is lost, and n-grams that many keys share
+    are hardly ever indexed.
+
+    Each key keeps its ``top`` best partners, and a pair stays if either of its
+    keys keeps it; None keeps all. A key whose partners are cut has ``top``
+    closer ones, through which linkage reaches the rest.
+    """
     # Squared norm of what comes after each entry.
     rest = F.transform(
         F.sequence(F.lit(1), F.size("entries")),
         lambda i: F.aggregate(F.slice("entries", i, F.size("entries")), F.lit(0.0), lambda s, e: s + e["w"] * e["w"]),
     )
     indexed = vectors.withColumn("rest", rest).select(
-        "key", "entries", F.explode(F.filter("entries", lambda e, i: F.col("rest")[i] >= F.lit(COSINE * COSINE))).alias("e")
+        "key", "entries", F.explode(F.filter("entries", lambda e, i: F.col("rest")[i] >= F.lit(LINKAGE * LINKAGE))).alias("e")
     ).select("key", "entries", F.col("e.gram").alias("gram"))
     left = indexed.select("gram", F.col("key").alias("a"), F.col("entries").alias("x"))
     right = indexed.select("gram", F.col("key").alias("b"), F.col("entries").alias("y"))
@@ -392,19 +463,26 @@ def similar_keys(keys: DataFrame) -> DataFrame:
         F.lit(0.0),
         lambda s, e: s + e["w"] * F.coalesce(F.try_element_at(F.map_from_entries("y"), e["gram"]), F.lit(0.0)),
     )
-    return (
+    pairs = (
         left.join(right, "gram")
         .where(F.col("a") < F.col("b"))
         .dropDuplicates(["a", "b"])
         .select("a", "b", dot.alias("cosine"))
-        .where(F.col("cosine") >= COSINE)
+        .where(F.col("cosine") >= LINKAGE)
     )
+    if top is None:
+        return pairs
+    pairs = cut(pairs)
+    sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b"))
+    best = sides.withColumn("place", place).where(F.col("place") <= top)
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").distinct()
 
 
 def _linkable(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of keys whose names linkage may join by themselves."""
+    """Pairs whose letters allow what their cosine says."""
     for f in frames:
-        yield f[[_spelling(a, b) >= LINKAGE for a, b in zip(f["a"], f["b"])]]
+        yield f[[_letters(a, b) > 0 for a, b in zip(f["a"], f["b"])]]
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -424,23 +502,26 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return state
 
 
-def link_names(names: DataFrame) -> DataFrame:
+def link_names(names: DataFrame, top: int | None = TOP) -> DataFrame:
     """``entity, name``: each different name with the smallest of the most used spelling of its entity.
 
     ``names`` has one row per use of a ``name``; other columns are left behind.
     Null names are left out; names without letters stand for themselves. The
     names of one task are the spellings of people whose surnames are alike: they
     grow with the ways to write a surname, not with the rows, as repeated names
-    were counted before.
+    were counted before, and are linked in time of their pairs, of which a key
+    has about ``top``.
     """
     uses = names.where(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("uses"))
     parsed = cut(uses.select("name").mapInPandas(_parse_all, _PARSED).join(uses, "name"))
-    keys = parsed.select("key").distinct()
-    # Two clusters are joined only if some pair of their names reaches LINKAGE, as an average is no more
-    # than its largest term; so components of such pairs hold all that linkage would join among similar keys.
-    near = similar_keys(keys).select("a", "b").mapInPandas(_linkable, "a string, b string")
-    group = components(keys, near)
-    return parsed.join(group, "key").groupBy("group").applyInPandas(_cluster, "entity string, name string")
+    vectors = cut(key_vectors(parsed))
+    # Two groups are joined only if some pair of their names reaches LINKAGE, as an average is no more
+    # than its largest term; so components of such pairs hold all that linkage would join.
+    near = cut(similar_keys(vectors, top).mapInPandas(_linkable, "a string, b string, cosine double"))
+    group = components(parsed.select("key").distinct(), near)
+    grouped = parsed.join(group, "key").join(vectors, "key", "left").groupBy("group")
+    pairs = near.join(group, near["a"] == group["key"]).select("group", "a", "b", "cosine").groupBy("group")
+    return grouped.cogroup(pairs).applyInPandas(_cluster, "entity string, name string")
 
 
 def linked_pairs(names: DataFrame) -> DataFrame:
