@@ -67,6 +67,31 @@ def clean(text: str) -> str:
     return _MARKS.sub("", unicodedata.normalize("NFC", text))
 
 
+_PART = re.compile(r"[\x00-\x7f][^\x00-\x7f]*|[^\x00-\x7f]+")
+
+
+def stored_places(text: str, cleaned: str, places: list[int]) -> list[int]:
+    """Places in ``text`` as it is stored, for increasing places in its ``clean`` form.
+
+    Nothing is composed across the beginning of an ASCII character, so the
+    parts that begin with one can be cleaned by themselves.
+    """
+    if cleaned == text:
+        return places
+    out, done, stored, parts = [], 0, 0, _PART.finditer(text)
+    part, length = "", 0
+    for place in places:
+        while done + length < place:
+            done, stored = done + length, stored + len(part)
+            part = next(parts)[0]
+            length = len(clean(part))
+        if done + length == place:
+            out.append(stored + len(part))
+        else:
+            out.append(stored + next(k for k in range(1, len(part) + 1) if len(clean(part[:k])) >= place - done))
+    return out
+
+
 def label_code(column):
     """Two-letter code of a label; "" for a missing one; the label itself if it names another language."""
     plain = F.lower(F.trim(F.coalesce(column.cast("string"), F.lit(""))))
@@ -223,7 +248,7 @@ def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CH
     code = label_code(F.col("lang"))
     labelled = docs.select("doc_id", "text", code.alias("code")).where(F.col("code").isin(*LANGUAGES))
     fit_for = labelled.where(F.length("text").between(20, chars))
-    return bounded_sample(fit_for, "doc_id", rows, labelled.count()).select("text", "code")
+    return bounded_sample(fit_for, "doc_id", rows, fit_for.count()).select("text", "code")
 
 
 def _judge(score: np.ndarray, size: np.ndarray, words: np.ndarray, letters: np.ndarray):
@@ -263,7 +288,7 @@ def _identify(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBat
         letters = np.bincount(sentence[counted], weights=words.letters[number[counted]], minlength=len(owner))
         bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
         main, sure, every, segments = [], [], [], []
-        for i in range(len(texts)):
+        for i, text in enumerate(texts):
             a, b = bounds[i], bounds[i + 1]
             if a == b:
                 main.append(None), sure.append(None), every.append([]), segments.append([])
@@ -275,10 +300,11 @@ def _identify(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBat
             every.append([LANGUAGES[x] for x in found])
             cut = np.flatnonzero(np.diff(lang, append=-1))  # the last sentence of each stretch
             begin = np.concatenate([[0], cut[:-1] + 1])
+            at = [int(ends[a + y]) for y in cut]
             segments.append(
                 [
-                    {"lang": LANGUAGES[lang[y]], "end": int(ends[a + y]), "confidence": float(confidence[x : y + 1].mean())}
-                    for x, y in zip(begin, cut)
+                    {"lang": LANGUAGES[lang[y]], "end": end, "confidence": float(confidence[x : y + 1].mean())}
+                    for x, y, end in zip(begin, cut, at if text.isascii() else stored_places(text, clean(text), at))
                 ]
             )
         yield pa.RecordBatch.from_arrays(
@@ -294,8 +320,8 @@ def identify(docs: DataFrame, fitted: np.ndarray | None = None) -> DataFrame:
     per row: ``doc_id, label`` (the code the label stands for, "" if missing),
     ``main`` and its ``confidence`` (share of the words, weighted by the
     posterior), ``languages`` with a whole sentence, and ``segments``: stretches
-    of one language with their end place in the text (normalised, without
-    stress marks) and confidence. A text that is null, empty or without words
+    of one language with their end place in the stored text, in code points,
+    and confidence. A text that is null, empty or without words
     has a null ``main`` and empty lists. If no row has a usable label, nothing
     can be learnt and all sentences count as the first language.
 

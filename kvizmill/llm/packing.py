@@ -24,10 +24,10 @@ from kvizmill.session import cut
 
 #: Sizes are told apart in at most so many bins, rounded up.
 BINS = 4096
-#: Up to so many bins, a container counts as full with one bin free and more steps are taken: combinations are few.
-SMALL_WINDOW, STEPS, STEPS_SMALL = 1024, 60, 150
-#: Parts into which the items of one size are split to be ranked.
-SALTS = 64
+#: Steps of the least squares at most, and the relative change of the repeat counts from which they are enough.
+STEPS, STILL = 300, 0.005
+#: Items of one size that are ranked together; a size with more is split into as many parts as it needs.
+RANKED = 100_000
 
 
 def bin_width(capacity: int) -> int:
@@ -35,25 +35,20 @@ def bin_width(capacity: int) -> int:
 
 
 def _combinations(counts: np.ndarray, window: int) -> np.ndarray:
-    """All multisets of up to three occupied bins that fill the window (a small one within a bin); 0 pads."""
+    """All multisets of up to three occupied bins that fill the window; 0 pads."""
     sizes = np.flatnonzero(counts)
     out = []
-    for total in range(window, window - 1 - (window <= SMALL_WINDOW), -1):
-        if 0 < total < len(counts) and counts[total]:
-            out.append([[0, 0, total]])
-        pairs = sizes[sizes * 2 <= total]
-        rest = total - pairs
-        ok = (rest < len(counts)) & (rest > 0)
-        pairs, rest = pairs[ok], rest[ok]
-        ok = counts[rest] > 0
-        out.append(np.stack([np.zeros(ok.sum(), int), pairs[ok], rest[ok]], axis=1))
-        for a in sizes[sizes * 3 <= total]:
-            b = sizes[(sizes >= a) & (sizes * 2 <= total - a)]
-            c = total - a - b
-            ok = (c < len(counts)) & (c >= b)
-            b, c = b[ok], c[ok]
-            ok = counts[c] > 0
-            out.append(np.stack([np.full(ok.sum(), a), b[ok], c[ok]], axis=1))
+    if counts[window]:
+        out.append([[0, 0, window]])
+    pairs = sizes[sizes * 2 <= window]
+    rest = window - pairs
+    ok = counts[rest] > 0
+    out.append(np.stack([np.zeros(ok.sum(), int), pairs[ok], rest[ok]], axis=1))
+    for a in sizes[sizes * 3 <= window]:
+        b = sizes[(sizes >= a) & (sizes * 2 <= window - a)]
+        c = window - a - b
+        ok = counts[c] > 0
+        out.append(np.stack([np.full(ok.sum(), a), b[ok], c[ok]], axis=1))
     return np.concatenate([np.asarray(x, dtype=np.int64).reshape(-1, 3) for x in out]) if out else np.zeros((0, 3), np.int64)
 
 
@@ -85,11 +80,13 @@ def _least_squares(combos: np.ndarray, counts: np.ndarray) -> np.ndarray:
     step = 1 / max(norm * 1.05, 1e-12)
     x = y = np.zeros(len(combos))
     t = 1.0
-    for _ in range(STEPS_SMALL if len(counts) <= SMALL_WINDOW + 1 else STEPS):
+    for _ in range(STEPS):
         new = np.maximum(0, y - step * back(apply(y) - goal))
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         y = new + (before - 1) / t * (new - x)
-        x = new
+        moved, x = np.abs(new - x).sum(), new
+        if moved < STILL * x.sum():
+            break
     return x
 
 
@@ -201,20 +198,37 @@ class _Plan:
 
 
 def _place(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    plans, offsets = shared.value
+    plans = shared.value
     for b in batches:
-        limit, bins, salt, nth = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("limit_id", "bin", "salt", "nth"))
+        limit, bins, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("limit_id", "bin", "rank"))
         container, place = np.zeros(len(limit), np.int64), np.zeros(len(limit), np.int64)
         for i in np.unique(limit):
             mine = limit == i
-            rank = offsets[i][bins[mine], salt[mine]] + nth[mine] - 1
-            container[mine], place[mine] = plans[i].places(bins[mine], rank)
+            container[mine], place[mine] = plans[i].places(bins[mine], rank[mine])
         yield pa.RecordBatch.from_arrays(
             [b.column("limit_id"), pa.array(container), pa.array(place + 1, pa.int32()), b.column("doc_id"), b.column("piece"), b.column("size")],
             names=["limit_id", "container", "place", "doc_id", "piece", "size"],
         )
 
 
+def _ranked(items: DataFrame, counts: DataFrame) -> DataFrame:
+    """``items`` with ``rank``, from 0, within their limit and bin.
+
+    ``counts`` (limit_id, bin, count) has few rows. A bin is split by hash into
+    parts of about RANKED items; a row's rank is its place in the part after
+    the sizes of the parts before. Parts are counted, ranked and joined with
+    what is before them on one partitioning, so items are shuffled once.
+    """
+    part = ["limit_id", "bin", "part"]
+    of = counts.select("limit_id", "bin", F.ceil(F.col("count") / F.lit(RANKED)).cast("int").alias("parts"))
+    split = items.join(F.broadcast(of), ["limit_id", "bin"]).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), "parts").cast("int"))
+    sizes = split.groupBy(*part).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("limit_id", "bin").orderBy("part")
+    starts = sizes.select(*part, (F.sum("n").over(before) - F.col("n")).alias("start"))
+    nth = F.row_number().over(Window.partitionBy(*part).orderBy("doc_id", "piece", "size"))
+    return split.join(starts.hint("merge"), part).withColumn("rank", F.col("start") + nth - 1)
+
+
 def pack(sizes: DataFrame, limits: DataFrame) -> DataFrame:
     """``limit_id, container, place, doc_id, piece, size`` for each document or piece and each limit.
 
@@ -227,8 +241,8 @@ def pack(sizes: DataFrame, limits: DataFrame) -> DataFrame:
     Limits that are null or below 1 are left out, as are repeated ``limit_id``s
     but for the smallest capacity.
 
-    To the driver come counts by limit, bin and salt: numbers bounded by BINS
-    and SALTS. A size that a third of all items have is ranked in SALTS parts.
+    To the driver come counts by limit and bin, at most BINS + 1 for a limit,
+    and the plan made of them goes to the tasks.
     """
     wanted = (
         limits.where((F.col("capacity_tokens") >= 1) & F.col("limit_id").isNotNull())
@@ -247,34 +261,25 @@ def pack(sizes: DataFrame, limits: DataFrame) -> DataFrame:
         pieces = F.greatest(F.lit(1), F.ceil(F.col("whole") / c).cast("int"))
         items = whole.select("doc_id", "whole", F.explode(F.sequence(F.lit(1), pieces)).alias("piece"))
         size = F.least(F.lit(c).cast("long"), F.col("whole") - (F.col("piece") - 1) * F.lit(c).cast("long"))
+        # The window is rounded down and sizes are rounded up: what fits in bins fits in tokens. Where the capacity
+        # is no multiple of the bin width, the largest sizes would have a bin beyond the window; like those of the
+        # last bin they have a container each.
+        window = c // bin_width(c)
         per_limit.append(
             items.select(F.lit(i).alias("limit_id"), "doc_id", "piece", size.alias("size")).withColumn(
-                "bin", F.ceil(F.col("size") / bin_width(c)).cast("int")
+                "bin", F.least(F.lit(window), F.ceil(F.col("size") / bin_width(c))).cast("int")
             )
         )
     items = per_limit[0]
     for more in per_limit[1:]:
         items = items.unionByName(more)
-    items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    offsets = {i: np.zeros((c // bin_width(c) + 2, SALTS), dtype=np.int64) for i, c in capacity.items()}
-    for r in items.groupBy("limit_id", "bin", "salt").count().collect():
-        offsets[r.limit_id][r.bin, r.salt] = r["count"]
-    plans = {}
-    for i, counts in offsets.items():
-        # The window is rounded down and sizes are rounded up: what fits in bins fits in tokens. Where the
-        # capacity is no multiple of the bin width, the largest sizes have a bin beyond the window; they are
-        # ranked behind those of the last bin, and like these have a container each.
-        window = capacity[i] // bin_width(capacity[i])
-        ranks = np.cumsum(counts, axis=1) - counts
-        ranks[window + 1] += counts[window].sum()
-        by_bin = counts.sum(axis=1)
-        by_bin[window] += by_bin[window + 1]
-        plans[i] = _Plan(by_bin[: window + 1], window)
-        plans[i].by_size[window + 1] = plans[i].by_size.get(window)
-        offsets[i] = ranks
-    shared = spark.sparkContext.broadcast((plans, offsets))
-    nth = F.row_number().over(Window.partitionBy("limit_id", "bin", "salt").orderBy("doc_id", "piece", "size"))
-    return items.withColumn("nth", nth).mapInArrow(lambda batches: _place(batches, shared), out_schema)
+    found = items.groupBy("limit_id", "bin").count().collect()
+    histogram = {i: np.zeros(c // bin_width(c) + 1, dtype=np.int64) for i, c in capacity.items()}
+    for r in found:
+        histogram[r.limit_id][r.bin] = r["count"]
+    shared = spark.sparkContext.broadcast({i: _Plan(counts, len(counts) - 1) for i, counts in histogram.items()})
+    counts = spark.createDataFrame([tuple(r) for r in found], "limit_id int, bin int, count long")
+    return _ranked(items, counts).mapInArrow(lambda batches: _place(batches, shared), out_schema)
 
 
 def pack_documents(docs: DataFrame, limits: DataFrame, vocabulary: str | None = None) -> DataFrame:

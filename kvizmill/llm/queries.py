@@ -96,8 +96,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per stretch of one language, and one without language for a document without words."""
     found = identify(load(spark, sf_dir, "documents"))
-    return found.select("doc_id", "main", "confidence", F.posexplode("segments").alias("segment", "s")).select(
+    return found.select("doc_id", "main", "confidence", F.posexplode_outer("segments").alias("segment", "s")).select(
         "doc_id", "main", "confidence", "segment", "s.lang", "s.end", F.col("s.confidence").alias("segment_confidence")
     )
 

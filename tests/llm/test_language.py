@@ -42,6 +42,29 @@ def test_documents_and_segments(spark, fitted):
     assert L.mislabelled(df.where("false"), fitted).count() == 0
 
 
+def test_segments_end_in_the_stored_text(spark, fitted):
+    """Stress marks, decomposed letters and invisible characters count where they are stored."""
+    one, two = "Вахтё\u0301р подро\u0301бно описа\u0301л и\u0306 биле\u0301т\u200b.", " The host\u200b guessed the wrong answer\u00ad."
+    _, got = run(spark, fitted, (one + two, "ru"), (f"\u0301{one}\n{two}", "ru"))
+    assert [s.end for s in got[0].segments] == [len(one), len(one + two)]
+    assert got[1].segments[-1].end == 2 + len(one + two)
+
+
+@pytest.mark.parametrize("text", ["а\u0301б. в\u0306г!", "\u0301\u0301х", "q\u0307\u0323. ｈ ﬁ", "각. \u1100\u1161\u11a8 \u200b\u200b", "plain"])
+def test_places(text):
+    cleaned = L.clean(text)
+    for k, at in enumerate(L.stored_places(text, cleaned, list(range(1, len(cleaned) + 1))), 1):
+        assert len(L.clean(text[:at])) >= k or at == len(text)
+
+
+def test_every_document_has_a_segment_row(spark, sf_dir):
+    from kvizmill.llm import queries as Q
+
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = Q.p10_segments(spark, sf_dir)
+    assert rows.select("doc_id").distinct().count() == documents.select("doc_id").distinct().count()
+
+
 def test_short_sentences(spark, fitted):
     """What counts is the distance to the text's own language, for the letters there are; names count as words."""
     text = "The host guessed the wrong answer. Nobody at the table remembered three letters. "

@@ -48,6 +48,12 @@ def test_documents_find_their_places(spark):
     assert {r.limit_id for r in rows} == {1, 2}
 
 
+def test_sizes_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr("kvizmill.llm.packing.RANKED", 300)
+    test_one_size_has_all_rows(spark)
+    test_documents_find_their_places(spark)
+
+
 def test_one_size_has_all_rows(spark):
     df = spark.range(5000).selectExpr("id AS doc_id", "CAST(300 AS LONG) AS size")
     limits = spark.createDataFrame([(1, 512)], "limit_id int, capacity_tokens int")
