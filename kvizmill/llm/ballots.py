@@ -1,9 +1,11 @@
 """Votes on whole questions at once.
 
 A ballot is a question with the sources (annotator and step of confidence) and
-labels of all who labelled it. Ballots are made by one shuffle and then only
-read: a round of truth discovery passes over them in Arrow batches, and what
-comes back are sums per source.
+labels of all who labelled it, an annotator once; so it is no longer than the
+list of annotators. Ballots are made by one shuffle and then only read: a round
+of truth discovery passes over them in Arrow batches, and what comes back are
+sums per source. Pairs of annotators are counted by ballot; long ballots, whose
+pairs are the square of their votes, are spread over tasks for it.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Pairs of annotators of one question that are counted together.
 _PAIRS = 2_000_000
+#: Votes of a ballot from which its pairs are counted in parts of about as many pairs as a ballot of this length has.
+LONG = 2_000
 
 
 def make(labels: DataFrame, sources: DataFrame) -> DataFrame:
@@ -41,6 +45,8 @@ class Batch:
         self.source = source.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         self.label = label.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         self.lengths = lengths
+        if b.num_columns > 3:
+            self.part, self.of = b.column(3).to_numpy(), b.column(4).to_numpy()
 
     def count(self, weight: np.ndarray, party: np.ndarray):
         """Winning label, its weight and the runner-up's, voters for it, all weight, parties, per question.
@@ -71,13 +77,14 @@ class Batch:
         parties = np.bincount(oq, weights=speakers, minlength=self.n)
         return truth, won, second, supporters, whole, parties
 
-    def pairs(self, annotator: np.ndarray, keep: np.ndarray, annotators: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pair a * annotators + b, meetings, same labels) of the kept votes, a < b."""
+    def pairs(self, annotator: np.ndarray, keep: np.ndarray, annotators: int, part: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair a * annotators + b, meetings, same labels) of the kept votes, a < b, in a ballot's ``part`` of ``of``."""
         who, question, label = annotator[self.source][keep], self.question[keep], self.label[keep]
         length = np.bincount(question, minlength=self.n)
         start = np.concatenate([[0], np.cumsum(length)])
+        mine = np.flatnonzero(np.arange(len(who)) % of[question] == part[question])
         parts = []
-        for block in np.split(np.arange(len(who)), np.flatnonzero(np.diff(np.cumsum(length[question]) // _PAIRS)) + 1):
+        for block in np.split(mine, np.flatnonzero(np.diff(np.cumsum(length[question[mine]]) // _PAIRS)) + 1):
             if not len(block):
                 continue
             m = length[question[block]]
@@ -131,9 +138,14 @@ def meetings(ballots: DataFrame, annotator: np.ndarray, weight: np.ndarray | Non
         who, w, p = shared.value
         for b in map(Batch, batches):
             keep = np.ones(len(b.source), bool) if w is None else b.label != b.count(w, p)[0][b.question]
-            yield _out(("pair", "both", "same"), *b.pairs(who, keep, int(who.max(initial=0)) + 1))
-
-    return ballots.mapInArrow(run, "pair long, both long, same long").groupBy("pair").agg(F.sum("both").alias("both"), F.sum("same").alias("same"))
+            yield _out(("pair", "both", "same"), *b.pairs(who, keep, int(who.max(initial=0)) + 1, b.part, b.of))
+
+    pairs = F.size("source").cast("double") * F.size("source")
+    of = F.ceil(pairs / F.lit(float(LONG) ** 2)).cast("long")
+    short = ballots.where(F.size("source") <= LONG).select("*", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("of"))
+    long = ballots.where(F.size("source") > LONG).select("*", F.explode(F.sequence(F.lit(0).cast("long"), of - 1)).alias("part"), of.alias("of"))
+    spread = short.unionByName(long.repartition("question_id", "part"))
+    return spread.mapInArrow(run, "pair long, both long, same long").groupBy("pair").agg(F.sum("both").alias("both"), F.sum("same").alias("same"))
 
 
 def outcome(ballots: DataFrame, weight: np.ndarray, party: np.ndarray) -> DataFrame:

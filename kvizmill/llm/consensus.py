@@ -19,6 +19,8 @@ from kvizmill.session import cut, keep
 ROUNDS, STILL = 8, 0.01
 #: Width of a step of confidence.
 STEP = 0.05
+#: Confidences above this are per cents.
+PLAIN = 1.5
 #: Up to so many sources (annotators by step) their weights are broadcast; beyond, they are a table that is joined.
 MANY_SOURCES = 200_000
 #: Standard normal quantile of half the risk (0.05) of the interval.
@@ -33,17 +35,22 @@ def main_labels(topics: DataFrame) -> DataFrame:
     """``question_id, model_name, subcategory_id, confidence``: each annotator's main label of each question.
 
     The label with the most confidence; a confidence that is null counts as
-    the annotator's mean, and an annotator who writes per cents is divided by
-    100. Ties go to the later run, then to the smaller subcategory. Rows whose
-    question, annotator or subcategory is null have no say.
+    the annotator's mean. An annotator most of whose confidences are above 1 in
+    earnest (by the median, so that stray values don't matter) writes per cents,
+    which are divided by 100, as are single values like that of the others. Ties
+    go to the later run, then to the smaller subcategory. Rows whose question,
+    annotator or subcategory is null have no say.
     """
     known = topics.where(
         F.col("question_id").isNotNull() & F.col("model_name").isNotNull() & F.col("subcategory_id").isNotNull()
     ).select("question_id", "model_name", "subcategory_id", F.col("confidence").cast("double").alias("confidence"), "classified_at")
+    percent = F.col("confidence") / 100
+    single = F.when(F.col("confidence") > PLAIN, percent).otherwise(F.col("confidence"))
     scale = known.groupBy("model_name").agg(
-        F.when(F.max("confidence") > 1.5, 100.0).otherwise(1.0).alias("_scale"), F.avg("confidence").alias("_mean")
+        (F.percentile_approx("confidence", 0.5, 1000) > PLAIN).alias("_percent"), F.avg(percent).alias("_if"), F.avg(single).alias("_else")
     )
-    scaled = known.join(scale, "model_name").withColumn("confidence", F.coalesce("confidence", "_mean", F.lit(0.5)) / F.col("_scale"))
+    own = F.when(F.col("_percent"), F.coalesce(percent, "_if")).otherwise(F.coalesce(single, "_else"))
+    scaled = known.join(scale, "model_name").withColumn("confidence", F.coalesce(own, F.lit(0.5)))
     best = F.max_by(
         F.struct("subcategory_id", "confidence"),
         F.struct(F.col("confidence"), F.col("classified_at"), -F.col("subcategory_id")),
@@ -112,8 +119,10 @@ def _weigh(judged: DataFrame, party: dict[str, str]) -> DataFrame:
 def _meetings(labels: DataFrame) -> DataFrame:
     """``a, b, both, same``: how often two annotators a < b met at a question, and the share of the same label.
 
-    A row of ``labels`` meets the other annotators of its question; what is
-    left is a row for each two annotators.
+    A row of ``labels`` meets the other annotators of its question, of which
+    there are at most as many as annotators; a question with very many is a
+    skewed key of the join, which adaptive execution splits. What is left is a
+    row for each two annotators.
     """
     a = labels.select("question_id", F.col("model_name").alias("a"), F.col("subcategory_id").alias("sa"))
     b = labels.select("question_id", F.col("model_name").alias("b"), F.col("subcategory_id").alias("sb"))

@@ -60,3 +60,22 @@ def test_ways_agree(spark, monkeypatch):
         consensus, annotators = discover(topics, 3)
         found.append(({r.question_id: (r.subcategory_id, r.annotators, round(r.agreement, 6), round(r.support, 6)) for r in consensus.collect()}, {r.model_name: (r.labels, r.errors, round(r.weight, 6), r.party) for r in annotators.collect()}))
     assert found[0] == found[1]
+
+
+def test_stray_values_dont_change_a_scale(spark):
+    """One 95 among confidences up to 1, and one 1.0 among per cents, are what they look like."""
+    rows = [(q, "plain", 1, 0.5) for q in range(9)] + [(9, "plain", 1, 95.0)] + [(q, "cent", 1, 60.0) for q in range(9)] + [(9, "cent", 1, 1.0)]
+    got = {(r.question_id, r.model_name): round(r.confidence, 3) for r in main_labels(table(spark, rows)).collect()}
+    assert got[0, "plain"] == 0.5 and got[9, "plain"] == 0.95 and got[0, "cent"] == 0.6 and got[9, "cent"] == 0.01
+
+
+def test_a_question_everyone_labelled(spark, monkeypatch):
+    """Pairs of a long ballot are counted in parts, with the same result."""
+    rng = random.Random(3)
+    rows = [(q, f"a{m}", rng.randrange(4), 0.5) for q in range(30) for m in range(40) if q == 0 or rng.random() < 0.3]
+    found = []
+    for long in (2000, 4):
+        monkeypatch.setattr("kvizmill.llm.ballots.LONG", long)
+        consensus, annotators = discover(table(spark, rows), 3)
+        found.append((sorted(map(tuple, consensus.collect())), sorted(map(tuple, annotators.collect()))))
+    assert found[0] == found[1] and max(r[2] for r in found[0][0]) == 40
