@@ -5,7 +5,8 @@ finds words and pairs of words that go with an area. The posts' labels are
 often wrong and hold for the post, not for its sentences; so the first rules
 give each sentence an area or none, and the rules proper are mined from these.
 A sentence is judged by the evidence of the rules it matches, and a post has
-the areas of its sentences.
+the areas of its sentences. What an amount of evidence is worth as a confidence
+is read off labelled posts that had no part in the rules.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from kvizmill.llm.names import LOOKALIKES, one_edit
 from kvizmill.llm.sampling import bounded_sample
 
-#: Rules are mined from at most so many labelled posts.
-TRAIN_ROWS = 20_000
-#: Letters of a word that count, least count of a rule, shards of the parallel FP-growth, rounds of mining.
-STEM, LEAST_COUNT, SHARDS, ROUNDS = 8, 6, 12, 3
+#: Rules are mined from at most so many labelled posts, and calibrated on one in so many of them that are held out.
+TRAIN_ROWS, HELD_OUT = 22_000, 11
+#: Least count of a rule, shards of the parallel FP-growth, rounds of mining.
+LEAST_COUNT, SHARDS, ROUNDS = 6, 12, 3
 #: Least confidence of a rule, and least evidence (log-odds) for an area.
 CONFIDENCE, EVIDENCE = 0.6, 1.0
 NONE = ""
@@ -39,10 +40,10 @@ _WORD = re.compile(r"[^\W\d_]{3,}")
 _MARKS = {0x0301: None, 0x0300: None, 0x00AD: None, 0x200B: None, 0x200D: None}
 
 
-def stem(word: str) -> str:
+def plain(word: str) -> str:
     if not word.isascii() and re.search("[A-Za-z]", word):
         word = word.translate(LOOKALIKES)
-    return word.lower().replace("ё", "е")[:STEM]
+    return word.lower().replace("ё", "е")
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -51,48 +52,49 @@ def sentences(text: str | None) -> list[list[str]]:
     return [words for part in _SENTENCE.split(plain) if (words := _WORD.findall(part))]
 
 
+def _shorter(word: str) -> set[str]:
+    return {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
 class Rules:
-    """Rules of one and two words: class and weight (log-odds of the confidence)."""
+    """Rules of one and two words: class and weight (log-odds of the confidence). A pair of NONE at even odds mutes its words."""
 
     def __init__(self, rules: list[tuple[str, str, str, float]], vocabulary: set[str]):
         self.single: dict[str, tuple[str, float]] = {}
-        self.pair: dict[tuple[str, str], tuple[str, float]] = {}
-        self.paired: set[str] = set()
+        self.pair: dict[str, dict[str, tuple[str, float]]] = defaultdict(dict)
         for x, y, label, confidence in rules:
             weight = math.log(confidence / (1 - confidence))
             if y:
-                self.pair[(x, y)] = (label, weight)
-                self.paired |= {x, y}
+                self.pair[x][y] = self.pair[y][x] = (label, weight)
             else:
                 self.single[x] = (label, weight)
         self.vocabulary = vocabulary
-        # A rare word one edit from exactly one known stem is taken for it.
+        # A rare word one edit from exactly one known word is taken for it.
         self._near: dict[str, set[str]] = defaultdict(set)
-        for s in vocabulary:
-            if len(s) >= 5:
-                for i in range(len(s)):
-                    self._near[s[:i] + s[i + 1 :]].add(s)
+        for w in vocabulary:
+            if len(w) >= 5:
+                for s in _shorter(w):
+                    self._near[s].add(w)
         self._known: dict[str, str] = {}
-        self.active = self.single.keys() | self.paired
+        self.active = self.single.keys() | self.pair.keys()
         self._judged: dict[frozenset[str], tuple[str, float]] = {}  # sentences of one form have the same words that count
 
     def item(self, word: str) -> str:
         found = self._known.get(word)
         if found is None:
-            found = stem(word)
-            if found not in self.vocabulary and len(word) >= 5 and word == word.lower():
-                found = self._repair(word.replace("ё", "е")) or found
+            found = plain(word)
+            if found not in self.vocabulary and len(found) >= 5 and word == word.lower():
+                found = self._repair(found) or found
             if len(self._known) > 500_000:
                 self._known = {}
             self._known[word] = found
         return found
 
     def _repair(self, word: str) -> str | None:
-        near = {word[:i] + word[i + 1 : STEM + 1] for i in range(min(len(word), STEM + 1))} & self.vocabulary
+        shorter = _shorter(word)
+        near = (shorter & self.vocabulary) | self._near.get(word, set())
         if not near:
-            cut = word[:STEM]
-            near = {s for i in range(len(cut)) for s in self._near.get(cut[:i] + cut[i + 1 :], ()) if one_edit(cut, s)}
-            near |= {s for s in self._near.get(word[: STEM - 1], ()) if len(s) == STEM}
+            near = {w for s in shorter for w in self._near.get(s, ()) if one_edit(word, w)}
         return near.pop() if len(near) == 1 else None
 
     def judge(self, words: list[str]) -> tuple[str, float]:
@@ -110,11 +112,13 @@ class Rules:
         evidence: dict[str, float] = defaultdict(float)
         used: set[str] = set()
         matched = [(w, (x,), c) for x in items if (r := self.single.get(x)) for c, w in [r]]
-        both = sorted(items & self.paired)
-        matched += [(w, p, c) for p in combinations(both, 2) if (r := self.pair.get(p)) for c, w in [r]]
-        # The surest rules first; a word speaks once.
-        for w, x, c in sorted(matched, key=lambda m: (-m[0], len(m[1]), m[1])):
-            if not used.intersection(x):
+        for x in items & self.pair.keys():
+            partners = self.pair[x]
+            both = (y for y in partners if y in items) if len(partners) < len(items) else (y for y in items if y in partners)
+            matched += [(w, (x, y), c) for y in both if x < y for c, w in [partners[y]]]
+        # Muted words first, then the surest rules; a word speaks once.
+        for w, x, c in sorted(matched, key=lambda m: (m[0] > 0 or m[2] != NONE, -m[0], len(m[1]), m[1])):
+            if not used.intersection(x) or (c == NONE and w <= 0):
                 used.update(x)
                 evidence[c] += w
         against = evidence.pop(NONE, 0.0)
@@ -125,13 +129,14 @@ class Rules:
         return (best, evidence[best] - rest) if evidence[best] - rest >= EVIDENCE else (NONE, rest)
 
 
-def _transactions(frames: Iterator[pd.DataFrame], rules: Rules | None) -> Iterator[pd.DataFrame]:
+def _transactions(frames: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
     """(items, label, n) of the sentences: the post's label, or what the rules say."""
+    rules = shared and shared.value
     for f in frames:
         count: Counter = Counter()
         for text, label, n in f[["text", "label", "n"]].itertuples(index=False):
             for words in sentences(text):
-                items = " ".join(sorted({rules.item(w) for w in words} if rules else {stem(w) for w in words}))
+                items = " ".join(sorted({rules.item(w) for w in words} if rules else {plain(w) for w in words}))
                 count[(items, rules.judge(words)[0] if rules else label)] += n
         yield pd.DataFrame([(i, c, n) for (i, c), n in count.items()], columns=["items", "label", "n"])
 
@@ -188,7 +193,7 @@ def _grow(frame: pd.DataFrame, least: int, classes: list[str]) -> pd.DataFrame:
 
 def _mine(transactions: DataFrame, classes: list[str], noisy: bool) -> Rules:
     """Rules that are sure enough and say more than the rules of their words."""
-    transactions = transactions.groupBy("items", "label").agg(F.sum("n").alias("n")).cache()
+    transactions = transactions.repartition(SHARDS, "items", "label").groupBy("items", "label").agg(F.sum("n").alias("n")).cache()
     try:
         frequent = (
             transactions.select(F.explode(F.split("items", " ")).alias("item"), "n")
@@ -202,6 +207,7 @@ def _mine(transactions: DataFrame, classes: list[str], noisy: bool) -> Rules:
         names = [r["item"] for r in order]
         grown = (
             transactions.mapInPandas(lambda fs: _shards(fs, rank), "shard int, path array<int>, label string, n long")
+            .repartition(SHARDS, "shard")
             .groupBy("shard")
             .applyInPandas(lambda f: _grow(f, LEAST_COUNT, classes), "x int, y int, counts array<long>")
             .collect()
@@ -209,13 +215,21 @@ def _mine(transactions: DataFrame, classes: list[str], noisy: bool) -> Rules:
     finally:
         transactions.unpersist()
 
+    def bound(hits: int, n: int, side: int) -> float:
+        p = hits / n  # an end of Wilson's interval, one standard error
+        return max(0.0, min(0.995, (p + 0.5 / n + side * math.sqrt(p * (1 - p) / n + 0.25 / n / n)) / (1 + 1 / n)))
+
     def sureness(counts) -> tuple[str, float]:
         k = int(np.argmax(counts))
-        n = sum(counts)
-        p = counts[k] / n  # lower end of Wilson's interval, one standard error
-        return classes[k], max(0.0, min(0.995, (p + 0.5 / n - math.sqrt(p * (1 - p) / n + 0.25 / n / n)) / (1 + 1 / n)))
+        return classes[k], bound(counts[k], sum(counts), -1)
+
+    def denied(counts, word: int) -> bool:
+        """Whether a word goes with an area, but not where the pair with these counts is."""
+        area, p = known.get((word, -1), (NONE, 0.0))
+        return p >= least and bound(counts[classes.index(area)], sum(counts), 1) < least
 
     known = {(r.x, r.y): sureness(r.counts) for r in grown}
+    by_pair = {(r.x, r.y): r.counts for r in grown if r.y >= 0} if noisy else {}
     least = CONFIDENCE
     if noisy:  # labels are wrong at times: the surest rules show how sure a rule can be
         top = sorted(p for (x, y), (c, p) in known.items() if y < 0)
@@ -223,6 +237,8 @@ def _mine(transactions: DataFrame, classes: list[str], noisy: bool) -> Rules:
     rules = []
     for (x, y), (label, p) in known.items():
         if p < least:
+            if noisy and y >= 0 and (denied(by_pair[x, y], x) or denied(by_pair[x, y], y)):
+                rules.append((*sorted((names[x], names[y])), NONE, 0.5))
             continue
         if y >= 0:
             parts = [known.get((k, -1)) for k in (x, y)]
@@ -242,52 +258,104 @@ def area_of_label(label, areas: dict[str, str]):
     return out
 
 
-def fit(posts: DataFrame, examples: DataFrame, categories: DataFrame, rows: int = TRAIN_ROWS) -> Rules:
-    """Rules from a bounded sample of labelled posts, by hash of the id, and the checked examples."""
+class Model:
+    """Rules, and the evidence at which a confidence is reached (two increasing sequences)."""
+
+    def __init__(self, rules: Rules, evidence: list[float], confidence: list[float]):
+        self.rules, self.evidence, self.confidence = rules, evidence, confidence
+
+    def sure(self, evidence: float) -> float:
+        return float(np.interp(evidence, self.evidence, self.confidence))
+
+
+def _increasing(x: np.ndarray, hit: np.ndarray, least: int = 50) -> tuple[list[float], list[float]]:
+    """Isotonic regression of hits on x (pool adjacent violators), in blocks of at least so many values."""
+    order = np.argsort(x, kind="stable")
+    parts = np.array_split(order, max(1, len(order) // least)) if len(order) else []
+    blocks: list[list[float]] = []
+    for k in parts:
+        blocks.append([float(x[k].sum()), float(hit[k].sum()), len(k)])
+        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
+    return [b[0] / b[2] for b in blocks], [b[1] / b[2] for b in blocks]
+
+
+def calibrate(rules: Rules, judged: pd.DataFrame) -> Model:
+    """Confidences for evidence, from held-out posts in which one area was found (evidence, hit).
+
+    A hit is a post whose label is the area found. Labels are wrong at times
+    whatever the evidence; so hits are taken relative to the block in which they
+    are most frequent. Without held-out posts the log-odds are believed.
+    """
+    x, p = _increasing(judged["evidence"].to_numpy(float), judged["hit"].to_numpy(float))
+    if not p or not p[-1]:
+        x = [EVIDENCE + k for k in range(12)]
+        return Model(rules, x, [1 / (1 + math.exp(-e)) for e in x])
+    return Model(rules, x, [v / p[-1] for v in p])
+
+
+def _evidence(frames: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+    """(evidence, hit) of posts in which one area is found."""
+    for f in frames:
+        rows = []
+        for text, label in zip(f["text"], f["label"]):
+            found = [(a, e) for words in sentences(text) for a, e in [shared.value.judge(words)] if a != NONE]
+            if len({a for a, _ in found}) == 1:
+                rows.append((max(e for _, e in found), float(found[0][0] == label)))
+        yield pd.DataFrame(rows, columns=["evidence", "hit"])
+
+
+def fit(posts: DataFrame, examples: DataFrame, categories: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """Rules from a bounded sample of labelled posts, by hash of the id, and the checked examples; the rest of the sample calibrates them."""
+    context = posts.sparkSession.sparkContext
     areas = {str(s).strip().lower(): r["name"] for r in categories.select("name", "name_ru").collect() for s in (r["name"], r["name_ru"]) if s and r["name"]}
     classes = [*sorted(set(areas.values())), NONE]
     label = area_of_label(F.col("category"), areas).alias("label")
-    labelled = posts.select("id", "text", label).where("label IS NOT NULL")
-    sample = bounded_sample(labelled.where("text IS NOT NULL"), "id", rows, labelled.count())
-    taught = sample.select("text", "label", F.lit(1).cast("long").alias("n")).unionByName(
-        examples.select("text", label, F.lit(3).cast("long").alias("n")).where("label IS NOT NULL")
-    ).repartition(SHARDS, F.xxhash64("text")).cache()
+    labelled = posts.select("id", "text", label).where("label IS NOT NULL AND text IS NOT NULL")
+    sample = bounded_sample(labelled, "id", rows, labelled.count()).withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(HELD_OUT)) == 0)
+    sample = sample.repartition(SHARDS, F.xxhash64("text")).cache()
     try:
-        rules = None
+        taught = sample.where("NOT held").select("text", "label", F.lit(1).cast("long").alias("n")).unionByName(
+            examples.select("text", label, F.lit(3).cast("long").alias("n")).where("label IS NOT NULL").coalesce(1)
+        )
+        rules = shared = None
         for _ in range(ROUNDS):
-            made = taught.mapInPandas(lambda fs, r=rules: _transactions(fs, r), "items string, label string, n long")
+            made = taught.mapInPandas(lambda fs, s=shared: _transactions(fs, s), "items string, label string, n long")
             rules = _mine(made, classes, noisy=rules is None)
+            shared = context.broadcast(rules)
+        judged = sample.where("held").select("text", "label").mapInPandas(lambda fs: _evidence(fs, shared), "evidence double, hit double").toPandas()
     finally:
-        taught.unpersist()
-    return rules
+        sample.unpersist()
+    return calibrate(rules, judged)
 
 
 def _assign(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    rules = shared.value
+    model = shared.value
     for b in batches:
-        ids, areas, evidence = [], [], []
+        ids, areas, confidence = [], [], []
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             found: dict[str, float] = {}
             for words in sentences(text):
-                area, sure = rules.judge(words)
+                area, sure = model.rules.judge(words)
                 if area != NONE:
                     found[area] = max(sure, found.get(area, 0.0))
             for area in sorted(found):
-                ids.append(key), areas.append(area), evidence.append(1 / (1 + math.exp(-found[area])))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(areas, pa.string()), pa.array(evidence, pa.float64())], names=["id", "category", "confidence"])
+                ids.append(key), areas.append(area), confidence.append(model.sure(found[area]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(areas, pa.string()), pa.array(confidence, pa.float64())], names=["id", "category", "confidence"])
 
 
-def subject_areas(posts: DataFrame, examples: DataFrame, categories: DataFrame, rules: Rules | None = None) -> DataFrame:
+def subject_areas(posts: DataFrame, examples: DataFrame, categories: DataFrame, model: Model | None = None) -> DataFrame:
     """``id, category, confidence``: the areas of each post, none for posts that only announce.
 
     ``posts`` has ``id, text, category``; other columns are left behind.
-    ``category`` is one of ``categories.name``; confidence comes from the
-    evidence of the surest sentence. Null, empty and wordless texts have no
-    row; a repeated row has its areas again, under its id. Without labelled
-    posts and examples there are no rules and no rows. The rules are broadcast:
-    their number is bounded by the sample they come from.
+    ``category`` is one of ``categories.name``; confidence is what the evidence
+    of the surest sentence is worth on held-out posts. Null, empty and wordless
+    texts have no row; a repeated row has its areas again, under its id. Without
+    labelled posts and examples there are no rules and no rows. The rules are
+    broadcast: their number is bounded by the sample they come from.
     """
-    shared = posts.sparkSession.sparkContext.broadcast(rules or fit(posts, examples, categories))
+    shared = posts.sparkSession.sparkContext.broadcast(model or fit(posts, examples, categories))
     return posts.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(
         lambda bs: _assign(bs, shared), "id long, category string, confidence double"
     )
