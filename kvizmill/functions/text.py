@@ -78,7 +78,29 @@ def is_numeric_like(text: Column) -> Column:
 
 
 #: Answers that say nothing.
-EMPTY_ANSWERS = ("да", "нет", "не знаю", "неизвестно", "то же", "оба", "все", "ничего", "см", "см выше")
+EMPTY_ANSWERS = (
+    "да", "нет", "не", "ничего", "никто", "всё", "все", "что", "кто", "он", "она", "они", "мы", "это", "то",
+    "икс", "x", "игрек", "y", "зет", "z", "альфа", "бета", "гамма", "дельта",
+)
+
+#: Parts of the names of organisations.
+ORGANISATION_WORDS = (
+    "компания", "корпорация", "фирма", "бренд", "банк", "университет", "институт", "академия", "газета", "журнал", "издательство", "партия",
+    "клуб", "команда", "википедия", "wikipedia", "google", "apple", "ikea", "lego", "starbucks", "microsoft", "openai", "nasa",
+    "ооо", "оао", "зао", "llc", "inc", "corp", "ltd", "gmbh",
+)
+
+#: Words that taggers take for organisations.
+NO_ORGANISATIONS = (
+    "ее", "её", "она", "его", "им", "их", "альфа", "оно", "первый", "это", "они", "нем", "ней", "них", "ним", "ними", "этого",
+    "этим", "икса", "ему", "иксом", "он", "альф", "этом", "ею", "там", "иксов", "вторым", "второй", "альфу", "иксы", "альфе",
+    "ими", "иксе", "первым", "первая", "бета", "альфой", "таким", "нее", "неё", "сми",
+)
+
+#: Endings of Russian words that light_lemma takes off, after at least three letters.
+ENDING = (
+    "^(.{3,}?)(?:иями|ями|ами|ого|его|ому|ему|ыми|ими|ая|яя|ое|ее|ые|ие|ый|ий|ой|ей|ую|юю|ых|их|ым|им|ом|ем|ям|ам|ах|ях|ов|ев|ию|ия|ии|а|я|о|е|ы|и|у|ю|ь)$"
+)
 
 
 def low_info_reason(key: Column) -> Column:
@@ -91,9 +113,35 @@ def low_info_reason(key: Column) -> Column:
         .when(is_numeric_like(key), None)
         .when(F.size(tokens) == 0, "no_tokens")
         .when((F.size(tokens) == 1) & (F.length(tokens[0]) <= 1), "too_short_single_token")
+        .when((F.size(tokens) == 1) & tokens[0].isin(*EMPTY_ANSWERS), "stop_single_token")
     )
 
 
+def tokens(text: Column) -> Column:
+    """Latin, Cyrillic and digit tokens in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit("([а-яёa-z0-9]+)"), F.lit(1))
+
+
+def has_capital(text: Column) -> Column:
+    """Whether a part between spaces or hyphens begins with a capital letter."""
+    return F.regexp_like(F.trim(text), F.lit(r"(?:^|[\s-])\p{Lu}"))
+
+
+def is_organisation_like(text: Column, stop_words: tuple[str, ...]) -> Column:
+    """Whether a name looks like an organisation: a word of such names, a short abbreviation, or Latin letters with a capital."""
+    t = F.trim(text)
+    low = F.lower(t)
+    known = reduce(or_, [F.contains(low, F.lit(w)) for w in ORGANISATION_WORDS])
+    short = F.regexp_like(t, F.lit("^[A-ZА-ЯЁ0-9]{2,8}$"))
+    latin = F.regexp_like(t, F.lit("[A-Za-z]")) & F.regexp_like(t, F.lit(r"\p{Lu}"))
+    return (t != "") & ~low.isin(*NO_ORGANISATIONS) & (known | F.when(short, ~low.isin(*stop_words)).otherwise(latin))
+
+
+def light_lemma(word: Column) -> Column:
+    """A word without its inflexional ending: what stands in for a lemma where no dictionary is at hand."""
+    return F.regexp_replace(word, ENDING, "$1")
+
+
 def view_count(text: Column) -> Column:
     """``1.2K``, ``5M``, ``3B`` and plain numbers as a count; 0 for anything else."""
     t = F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s ]", ""))

@@ -106,10 +106,15 @@ def explode_authors(records: DataFrame, tbl: str, id_column: str = "id", field:
     one id with different fields both count. A null id stays null. Other
     columns of ``records`` are left behind.
     """
-    once = records.select(F.col(id_column).cast("long").alias("record_id"), F.col(field).alias("_field")).distinct()
-    return once.select(F.lit(tbl).alias("tbl"), "record_id", F.posexplode(author_names(F.col("_field"))).alias("_at", "name")).select(
-        "tbl", "record_id", (F.col("_at") + 1).alias("pos"), "name"
-    ).distinct()
+    each = records.select(F.col(id_column).cast("long").alias("record_id"), F.col(field).alias("_field"))
+    # One shuffle by id: a record's fields are told apart as they are, then by their names, and stay with their id.
+    # Records without an id stay apart by their fields.
+    own = F.when(F.col("record_id").isNull(), F.xxhash64("_field"))
+    lists = each.groupBy("record_id", own.alias("_own")).agg(F.collect_set("_field").alias("_fields"))
+    rows = F.array_distinct(
+        F.flatten(F.transform("_fields", lambda f: F.transform(author_names(f), lambda n, i: F.struct((i + 1).alias("pos"), n.alias("name")))))
+    )
+    return lists.select(F.lit(tbl).alias("tbl"), "record_id", F.inline(rows))
 
 
 def pooled_authors(packs: DataFrame, questions: DataFrame) -> DataFrame:

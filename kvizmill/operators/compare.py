@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvizmill.session import if_small
+
+#: Rules that are broadcast at most.
+RULES = 10_000
+
 from kvizmill.operators.shares import percent
 
 
@@ -69,8 +74,26 @@ def calibration(judged: DataFrame) -> DataFrame:
     )
 
 
-def dispute(labelled: DataFrame, confused: list[tuple[str, str]], logic: str) -> DataFrame:
-    """``question_id, score, reasons`` from a question's two surest topics.
+def runs(topics: DataFrame) -> DataFrame:
+    """Runs of labelling (model, method, month), the latest first: start, end, labels and questions."""
+    month = F.to_date(F.date_trunc("month", "classified_at")).alias("month")
+    made = topics.where("classified_at IS NOT NULL").groupBy("model_name", "method", month)
+    return made.agg(
+        F.min("classified_at").alias("started_at"), F.max("classified_at").alias("finished_at"), F.count("*").alias("labels"), F.countDistinct("question_id").alias("questions")
+    ).orderBy(F.col("started_at").desc())
+
+
+def token_estimate(questions: DataFrame, topics: DataFrame, input_tokens: int = 1600, output_tokens: int = 40) -> DataFrame:
+    """``model_name, questions, input_tokens, output_tokens``: what labelling the questions a model hasn't labelled would take."""
+    known = questions.select(F.col("id").alias("question_id")).distinct()
+    done = topics.where("model_name IS NOT NULL").select("model_name", "question_id").distinct().join(known, "question_id", "left_semi")
+    left = done.groupBy("model_name").agg(F.count("*").alias("_done")).join(F.broadcast(known.agg(F.count("*").alias("_n"))))  # one row
+    rest = (F.col("_n") - F.col("_done")).alias("questions")
+    return left.select("model_name", rest).select("*", (F.col("questions") * input_tokens).alias("input_tokens"), (F.col("questions") * output_tokens).alias("output_tokens"))
+
+
+def dispute(labelled: DataFrame, confused: list[tuple[str, str]], logic: str, primary: str | None = None, confused_only: bool = False) -> DataFrame:
+    """``question_id, score, reasons`` from a question's two surest topics; of those whose first category has ``primary`` in its name, or of confused pairs only.
 
     3 for a first confidence under .6 (1 under .7), 3 for a lead under .05 (2
     under .1), 2 for a known pair of confused categories, 1 for the logic category.
@@ -93,19 +116,23 @@ def dispute(labelled: DataFrame, confused: list[tuple[str, str]], logic: str) ->
         (F.when(F.col("cat1") == logic, 1).otherwise(0), F.when(F.col("cat1") == logic, "logic")),
     ]
     score = sum((p for p, _ in parts[1:]), parts[0][0])
+    if primary is not None:
+        two = two.where(F.contains(F.lower("cat1"), F.lit(primary.lower())))
+    if confused_only:
+        two = two.where(pair)
     return two.select("question_id", score.alias("score"), F.concat_ws(",", *[r for _, r in parts]).alias("reasons"))
 
 
 def keyword_scores(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """``id, category, score``: sum of the weights of a category's keywords that are in the question (2), answer (1.5) or comment (1).
 
-    ``keywords`` (keyword, category) is a table of rules, small by nature; all
+    ``keywords`` (keyword, category) is a table of rules; while it is small, all
     are tried in one pass over the texts.
     """
     hit = lambda column, w: F.when(F.contains(F.lower(F.coalesce(column, F.lit(""))), F.col("keyword")), w).otherwise(0.0)
     score = hit("text", 2.0) + hit("answer", 1.5) + hit("comment", 1.0)
     return (
-        texts.join(F.broadcast(keywords))
+        texts.join(if_small(keywords, RULES))
         .withColumn("s", score)
         .where("s > 0")
         .groupBy("id", "category")

@@ -6,9 +6,13 @@ caller writes it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvizmill.session import cut, if_small
+
 
 def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The last row of each key in ``order``."""
@@ -40,24 +44,58 @@ def delete_matching(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFram
 def import_copies_free(old: DataFrame, new: DataFrame, key: str, first_id: int) -> DataFrame:
     """New rows whose copy key is unknown, once each, numbered on from the largest id.
 
-    The numbers are dense: places come from counts per range of the sorted
-    keys, so no single task numbers all rows.
+    The numbers are dense and follow the keys' order.
     """
     fresh = insert_ignore(old, new, [key], key)
-    start = old.agg(F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(first_id - 1)).alias("_start"))
-    bucket = F.pmod(F.xxhash64(key), F.lit(256))
-    counted = fresh.withColumn("_b", bucket)
-    sizes = counted.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).select("_b", "_before")  # 256 rows
-    nth = F.row_number().over(Window.partitionBy("_b").orderBy(key))
-    placed = counted.withColumn("_nth", nth).join(F.broadcast(before), "_b").join(F.broadcast(start))
-    return placed.withColumn("id", F.col("_start") + F.col("_before") + F.col("_nth")).drop("_b", "_nth", "_before", "_start")
+    floor = spark_max(old, "id")
+    return numbered(fresh, [key], max(floor, first_id - 1))
+
+
+def spark_max(df: DataFrame, column: str) -> int:
+    """The largest value of a column, 0 for none."""
+    return df.agg(F.coalesce(F.max(column), F.lit(0)).cast("long").alias("m")).first().m
+
+
+def numbered(rows: DataFrame, order: list[str], after: int) -> DataFrame:
+    """``rows`` with ``id``: after + 1, after + 2 and on in a total order.
+
+    A global range sort, written once; places come from the sizes of its
+    partitions, so no task numbers more rows than it holds.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    ordered = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part, nth = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    starts, before = {}, after + 1
+    for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():  # a row per partition
+        starts[r.p] = before
+        before += r.n
+    if not starts:
+        return ordered.drop("_at").withColumn("id", F.lit(None).cast("long"))
+    start = F.element_at(F.create_map(*[F.lit(x) for p, s in starts.items() for x in (p, s)]), part)
+    return ordered.withColumn("id", (start + nth).cast("long")).drop("_at")
+
+
+def append_numbered(old: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """New rows as they are appended to ``old``: numbered on from its largest ``key``, in ``order``."""
+    return numbered(new, order, spark_max(old, key)).withColumnRenamed("id", key)
+
+
+def migrate(rows: DataFrame, added: dict[str, Column], key: list[str] | None = None) -> DataFrame:
+    """An older table in the newer form: columns it lacks, or has nulls in, get a value; rows of one widened ``key`` are told apart no more."""
+    for name, value in added.items():
+        rows = rows.withColumn(name, F.coalesce(F.col(name), value) if name in rows.columns else value)
+    return rows.dropDuplicates(key) if key else rows
+
+
+def seeded(rows: DataFrame, seed: DataFrame) -> DataFrame:
+    """``rows``, or where there are none the ``seed``."""
+    return rows.unionByName(seed.join(rows.limit(1).select(F.lit(True).alias("_any")), F.col("_any"), "left_anti"))
 
 
 def above_mark(posts: DataFrame, channels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new posts, new marks): posts beyond their channel's ``last_parsed_id``, once each, and the marks moved on."""
     marks = channels.select(F.col("id").alias("channel_id"), "last_parsed_id")
-    beyond = posts.join(F.broadcast(marks), "channel_id").where(F.col("post_id") > F.coalesce("last_parsed_id", F.lit(0)))
+    beyond = posts.join(if_small(marks), "channel_id").where(F.col("post_id") > F.coalesce("last_parsed_id", F.lit(0)))
     fresh = beyond.groupBy("channel_id", "post_id").agg(F.min("id").alias("id"))
     top = fresh.groupBy("channel_id").agg(F.max("post_id").alias("_top"))
     moved = channels.join(top, channels["id"] == top["channel_id"], "left")
@@ -74,15 +112,23 @@ def tour_numbers(questions: DataFrame) -> DataFrame:
 def gap_runs(ids: DataFrame, span: int = 1 << 16) -> DataFrame:
     """``first_missing, missing``: runs of missing ids between known ones.
 
-    The next id is looked for within spans of ids; only the first and last id
-    of each span meet those of the spans around it, so no task orders all ids.
+    The next id is looked for within spans of 2^16 ids; only the first and last
+    id of a span go on to spans of 2^32, of these to spans of 2^48, of which 64
+    bits have no more than 2^16. So no task orders more than 2^17 rows, however
+    many or sparse the ids are.
     """
-    known = ids.where("id IS NOT NULL").select("id").distinct().withColumn("_s", F.floor(F.col("id") / span))
-    inside = known.withColumn("_next", F.lead("id").over(Window.partitionBy("_s").orderBy("id"))).select("id", "_next")
-    ends = known.groupBy("_s").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
-    across = ends.select(F.col("_high").alias("id"), F.lead("_low").over(Window.orderBy("_s")).alias("_next"))  # a row per span
+    level = ids.where("id IS NOT NULL").select(F.col("id").cast("long").alias("_low")).distinct().withColumn("_high", F.col("_low"))
+    steps = []
+    widths = [span]
+    while widths[-1] < 1 << 48:
+        widths.append(widths[-1] << 16)
+    for width in widths:
+        level = level.withColumn("_s", F.expr(f"_low div {width}L"))
+        steps.append(level.select(F.col("_high").alias("id"), F.lead("_low").over(Window.partitionBy("_s").orderBy("_low")).alias("_next")))
+        level = level.groupBy("_s").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    steps.append(level.select(F.col("_high").alias("id"), F.lead("_low").over(Window.orderBy("_s")).alias("_next")))  # at most 2^16 rows
     return (
-        inside.unionByName(across)
+        reduce(DataFrame.unionByName, steps)
         .where(F.col("_next") > F.col("id") + 1)
         .select((F.col("id") + 1).alias("first_missing"), (F.col("_next") - F.col("id") - 1).alias("missing"))
     )

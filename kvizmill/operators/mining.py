@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -75,8 +77,82 @@ def entities(texts: DataFrame, find: Callable[[Column], Column] | None = None) -
     ``find`` maps a text column to an array of names, e.g. a vectorised UDF
     around a tagger; by default runs of capitalised words inside a sentence.
     """
-    by_rule = lambda t: F.regexp_extract_all(t, F.lit(r"(?<=[а-яёa-z,] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"), F.lit(1))
-    return frequency(texts.where("text IS NOT NULL").select(F.explode((find or by_rule)(F.col("text"))).alias("name")), "name")
+    return frequency(found_names(texts, find), "name")
+
+
+def found_names(texts: DataFrame, find: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``id, name``: a row per name in a text, found as ``entities`` says."""
+    by_rule = lambda t: F.regexp_extract_all(t, F.lit(r"[а-яёa-z,] (\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"), F.lit(1))
+    return texts.where("text IS NOT NULL").select("id", F.explode((find or by_rule)(F.col("text"))).alias("name"))
+
+
+def typed(names: DataFrame) -> DataFrame:
+    """Names with ``type``: ORG by their words, PER for several words, LOC for one. Where a tagger gives types, this isn't needed."""
+    kind = F.when(X.is_organisation_like(F.col("name"), STOP_WORDS), "ORG").when(F.contains("name", F.lit(" ")), "PER").otherwise("LOC")
+    return names.withColumn("type", kind)
+
+
+def top_entities(names: DataFrame, n: int) -> DataFrame:
+    """``type, name, count``: the n most frequent names of each type, ties by name."""
+    counts = names.groupBy("type", "name").agg(F.count("*").alias("count"))
+    place = F.row_number().over(Window.partitionBy("type").orderBy(F.col("count").desc(), "name"))
+    return counts.withColumn("_k", place).where(F.col("_k") <= n).drop("_k")
+
+
+def sample_by_answers(postings: DataFrame, questions: DataFrame, packs: DataFrame, difficulty: tuple[float, float] | None, n: int, seed: int) -> DataFrame:
+    """``id`` of n random questions of posting lists, where given of packs with a difficulty in the range (both ends count)."""
+    of = questions.join(postings.select(F.col("question_id").alias("id")), "id", "left_semi")
+    if difficulty:
+        fit = packs.where(F.col("difficulty").between(*difficulty)).select(F.col("id").alias("pack_id"))
+        of = of.join(fit, "pack_id", "left_semi")
+    return of.select("id").distinct().orderBy(X.shuffle_key(F.col("id"), seed), "id").limit(n)
+
+
+ITEM_KINDS = ("person", "place", "work", "science", "expression", "number")
+
+
+@dataclass(frozen=True)
+class ItemRules:
+    """Word lists by which an item's category is checked; keys are those of ``text_key``."""
+
+    denied: tuple[str, ...] = ()
+    allowed: dict[str, str] = field(default_factory=dict)
+    person_denied: tuple[str, ...] = ()
+    persons: tuple[str, ...] = ()
+    place_denied: tuple[str, ...] = ()
+    places: tuple[str, ...] = ()
+    place_words: tuple[str, ...] = ()
+    works_denied: tuple[str, ...] = ()
+    works: tuple[str, ...] = ()
+    science: tuple[str, ...] = ()
+    phrases: tuple[str, ...] = ()
+    expressions: tuple[str, ...] = ()
+
+
+def valid_item(answer: Column, kind: Column, rules: ItemRules) -> Column:
+    """Whether an answer may belong to a category; what is denied is denied everywhere, and a listed answer belongs to its own alone."""
+    key, n, capital = X.text_key(answer), F.size(X.tokens(answer)), X.has_capital(answer)
+    padded = F.concat(F.lit(" "), key, F.lit(" "))
+
+    def part(of: Column, words: tuple[str, ...]) -> Column:
+        return reduce(or_, [F.contains(of, F.lit(w)) for w in words], F.lit(False))
+
+    own = F.lit(None).cast("string")
+    for word, of in rules.allowed.items():
+        own = F.when(key == word, of).otherwise(own)
+    person = ~part(key, rules.person_denied) & ~key.isin(*rules.places) & (key.isin(*rules.persons) | (n >= 2) | capital)
+    place = ~part(key, rules.place_denied) & ~key.isin(*rules.persons) & (key.isin(*rules.places) | part(key, rules.place_words) | capital | (n >= 2))
+    expression = key.isin(*rules.phrases) | (n >= 3) | ((n == 2) & part(padded, rules.expressions))
+    by_kind = (
+        F.when(kind == "person", person)
+        .when(kind == "place", place)
+        .when(kind == "work", ~key.isin(*rules.works_denied) & ((n >= 2) | key.isin(*rules.works)))
+        .when(kind == "science", part(key, rules.science) | (n >= 2))
+        .when(kind == "expression", expression)
+        .when(kind == "number", X.is_numeric_like(key))
+        .otherwise(True)
+    )
+    return ~key.isin(*rules.denied) & F.when(own.isNotNull(), own == kind).otherwise(by_kind)
 
 
 def max_merge(items: DataFrame, aliases: dict[str, str]) -> DataFrame:
@@ -143,11 +219,13 @@ def transcript_chunks(segments: DataFrame, limit: int = 10_000, carry: int = 3)
     return segments.groupBy("video").applyInPandas(lambda f: chunk_segments(f, limit, carry), schema)
 
 
-def _unicode_keys(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _composed(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in frames:
-        yield s.map(lambda t: " ".join(re.sub(r"[^\w\s]", "", unicodedata.normalize("NFKC", t or "").lower()).split()))
+        odd = ~s.map(lambda t: t is None or unicodedata.is_normalized("NFKC", t))
+        yield s.where(~odd, s[odd].str.normalize("NFKC")) if odd.any() else s
 
 
 def copy_key(text: Column) -> Column:
-    """NFKC, lower case, no punctuation, single spaces: what copies are recognised by. Spark has no NFKC of its own."""
-    return F.pandas_udf(_unicode_keys, "string")(text)
+    """NFKC, lower case, no punctuation, single spaces: what copies are recognised by. Spark has no NFKC of its own; the rest is its."""
+    plain = F.regexp_replace(F.lower(F.pandas_udf(_composed, "string")(text)), r"(?U)[^\p{L}\p{N}_\s]", "")
+    return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))

@@ -6,6 +6,8 @@ so that the shuffle carries each pair once and no count-distinct is expanded.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,3 +79,8 @@ def paired_categories(labelled: DataFrame, least: int) -> DataFrame:
     b = once.select("question_id", F.col("subcategory_id").alias("sb"), F.col("category").alias("category_b"))
     pairs = a.join(b, "question_id").where((F.col("sa") < F.col("sb")) & (F.col("category_a") != F.col("category_b")))
     return question_counts(pairs, "category_a", "category_b").where(F.col("count") >= least)
+
+
+def tagged_union(tag: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """All rows of several tables, each with the name of its own in ``tag``."""
+    return reduce(DataFrame.unionByName, [df.withColumn(tag, F.lit(name)) for name, df in tables.items()])

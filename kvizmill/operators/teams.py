@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kvizmill.session import if_small
+
 
 def share_delta(group: DataFrame, whole: DataFrame, least: float) -> DataFrame:
     """``category, pct, whole_pct, delta`` of two (category, count) tables, where the shares differ by more than ``least``."""
@@ -45,14 +47,14 @@ def first_in_catalogue(names: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``name, item``: the first catalogue entry (item, pos, title) whose title has the name.
 
     A single word of six letters or more must begin a word of the title; of
-    several words, all over two letters must be in it. The catalogue is a small
-    list, checked against all names in one pass.
+    several words, all over two letters must be in it. A small catalogue is
+    checked against all names in one pass.
     """
     words = F.filter(F.split(F.lower("name"), r"\s+"), lambda w: F.length(w) > 2)
     title = F.lower(F.col("title"))
     one = (F.size(F.split(F.trim("name"), r"\s+")) == 1) & (F.length(F.trim("name")) >= 6) & F.contains(F.concat(F.lit(" "), title), F.concat(F.lit(" "), F.lower(F.trim("name"))))
     many = (F.size(F.split(F.trim("name"), r"\s+")) > 1) & (F.size(words) > 0) & F.forall(words, lambda w: F.contains(title, w))
-    return names.join(F.broadcast(catalogue), one | many).groupBy("name").agg(F.min_by("item", "pos").alias("item"))
+    return names.join(if_small(catalogue, 10_000), one | many).groupBy("name").agg(F.min_by("item", "pos").alias("item"))
 
 
 def typed_names(found: DataFrame) -> DataFrame:
@@ -66,6 +68,11 @@ def labelled_by(rows: DataFrame, classify, schema: str, least: float, dims: Data
 
     ``classify`` may call any model; Spark's task retry is its retry.
     """
-    made = rows.mapInPandas(classify, schema).where(F.col("conf") >= least)
+    return with_subcategory(rows.mapInPandas(classify, schema), least, dims)
+
+
+def with_subcategory(made: DataFrame, least: float, dims: DataFrame) -> DataFrame:
+    """``question_id, subcategory_id, confidence`` of (question_id, cat, sub, conf) from a confidence on, by the taxonomy's order numbers."""
+    made = made.where(F.col("conf") >= least)
     ids = dims.select(F.col("sort_order").alias("cat"), F.col("sub_order").alias("sub"), "subcategory_id")
     return made.join(F.broadcast(ids), ["cat", "sub"]).select("question_id", "subcategory_id", F.col("conf").alias("confidence"))

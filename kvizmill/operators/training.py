@@ -21,23 +21,41 @@ def leitner(attempts: DataFrame) -> DataFrame:
 
     A right answer moves a question up a box, from 1 to 5, a wrong one back to
     1; so the box is 1 + the number of right answers since the last wrong one,
-    at most 5, and two aggregations do: the last wrong answer, and what came
-    after it. No window over a user's attempts is sorted. Attempts without a
-    time, user, question or answer have no effect; of the same time, the later
-    id counts as later.
+    at most 5. The last wrong answer is put beside each attempt of its key and
+    what came after it is counted, on one partitioning by key. Attempts without
+    a time, user, question or answer have no effect; of the same time, the
+    later id counts as later.
     """
+    last = _streaks(attempts)
+    return _state(last.select("user_id", "question_id", "streak", F.col("last.attempted_at").alias("last_attempt_at")))
+
+
+def advance(state: DataFrame, attempts: DataFrame) -> DataFrame:
+    """``state`` moved on by later attempts: rows without any stay as they are, new keys begin in the first box."""
+    keys = ["user_id", "question_id"]
+    now = _streaks(attempts).select(*keys, F.col("streak").alias("_streak"), "wrong_at", F.col("last.attempted_at").alias("_last"))
+    both = state.select(*keys, "streak", "last_attempt_at").join(now, keys, "full")
+    kept = F.when(F.col("wrong_at").isNull(), F.coalesce("streak", F.lit(0).cast("long"))).otherwise(0)
+    return _state(both.select(*keys, (kept + F.coalesce("_streak", F.lit(0))).alias("streak"), F.coalesce("_last", "last_attempt_at").alias("last_attempt_at")))
+
+
+def _streaks(attempts: DataFrame) -> DataFrame:
+    """``user_id, question_id, streak, last, wrong_at``: right answers since the last wrong one, the last attempt and the last wrong one."""
     valid = attempts.where("user_id IS NOT NULL AND question_id IS NOT NULL AND attempted_at IS NOT NULL AND knew IS NOT NULL")
     keys = ["user_id", "question_id"]
     when = F.struct("attempted_at", "id")
-    # One pass: attempts by key are folded to the last wrong one; rights after it are counted from sorted arrays per key.
-    each = valid.select(*keys, when.alias("at"), "knew")
-    wrong = each.where("NOT knew").groupBy(*keys).agg(F.max("at").alias("wrong_at"))
-    last = each.join(wrong, keys, "left").groupBy(*keys).agg(
+    wrong = F.max(F.when(~F.col("knew"), F.col("at"))).over(Window.partitionBy(*keys))
+    each = valid.select(*keys, when.alias("at"), "knew").withColumn("wrong_at", wrong)
+    return each.groupBy(*keys).agg(
         F.count_if(F.col("knew") & (F.col("wrong_at").isNull() | (F.col("at") > F.col("wrong_at")))).alias("streak"),
         F.max("at").alias("last"),
+        F.max("wrong_at").alias("wrong_at"),
     )
+
+
+def _state(streaks: DataFrame) -> DataFrame:
     box = F.least(F.col("streak") + 1, F.lit(5)).cast("int")
-    out = last.select(*keys, box.alias("box"), "streak", F.col("last.attempted_at").alias("last_attempt_at"))
+    out = streaks.select("user_id", "question_id", box.alias("box"), "streak", "last_attempt_at")
     return out.withColumn("next_review_at", next_review(F.col("last_attempt_at"), F.col("box")))
 
 

@@ -12,6 +12,7 @@ from kvizmill.operators import shares as S
 from kvizmill.operators.authors import author_names, pooled_authors
 from kvizmill.plans.registry import query
 from kvizmill.plans.shares import DATE, LAB, MODEL, P, Q
+from kvizmill.session import if_small
 
 HASH = "((({0} % 2147483647) * (2654435761 % 2147483647) + {1}) % 2147483647)"
 AUTHOR, GROUP = "Иван", ["Захар", "Рехрехаев"]
@@ -261,7 +262,7 @@ def a20(c):
     authors = c.spark.createDataFrame([(a,) for a in ("Захар", "Рехрехаев", "Иван")], "author string")
     done = c.topics.where(F.col("model_name") == MODEL).select(F.col("question_id").alias("id")).distinct().withColumn("done", F.lit(1))
     q = c.question_columns("authors").where("authors IS NOT NULL").join(done, "id", "left")
-    hits = q.join(F.broadcast(authors), F.contains("authors", "author"))  # one pass for the whole list of authors
+    hits = q.join(if_small(authors, 10_000), F.contains("authors", "author"))  # one pass for the whole list of authors
     out = hits.groupBy("author").agg(F.count("*").alias("total"), F.count("done").alias("classified"))
     return out.withColumn("pct", S.percent(F.col("classified"), F.col("total")))
 

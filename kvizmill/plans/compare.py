@@ -164,15 +164,15 @@ def m12(c):
 CONFUSED = [("software", "literature"), ("software", "music"), ("wildlife", "science"), ("science", "wildlife"), ("history", "law_state"), ("law_state", "history"), ("history", "literature"), ("music", "screen_stage"), ("screen_stage", "music")]
 
 
-@query(
-    "w10_disputes",
-    f"""WITH r AS (SELECT qt.question_id, c.name AS category, confidence, row_number() OVER (PARTITION BY question_id ORDER BY confidence DESC NULLS LAST, subcategory_id, qt.id) AS k FROM {LAB} WHERE model_name = '{A}'),
+DISPUTES = f"""WITH r AS (SELECT qt.question_id, c.name AS category, confidence, row_number() OVER (PARTITION BY question_id ORDER BY confidence DESC NULLS LAST, subcategory_id, qt.id) AS k FROM {LAB} WHERE model_name = '{A}'),
     t AS (SELECT question_id, max(confidence) FILTER (k = 1) AS c1, max(confidence) FILTER (k = 2) AS c2, max(category) FILTER (k = 1) AS cat1, max(category) FILTER (k = 2) AS cat2 FROM r WHERE k <= 2 GROUP BY 1),
     s AS (SELECT *, round(c1 - c2, 9) AS lead, coalesce((cat1 || '>' || cat2) IN ({', '.join(f"'{a}>{b}'" for a, b in CONFUSED)}), false) AS pair FROM t)
     SELECT question_id, CASE WHEN c1 < 0.6 THEN 3 WHEN c1 < 0.7 THEN 1 ELSE 0 END + CASE WHEN lead < 0.05 THEN 3 WHEN lead < 0.1 THEN 2 ELSE 0 END + CASE WHEN pair THEN 2 ELSE 0 END
     + CASE WHEN cat1 = 'software' THEN 1 ELSE 0 END AS score, concat_ws(',', CASE WHEN c1 < 0.7 THEN 'low_confidence' END, CASE WHEN lead < 0.1 THEN 'close' END, CASE WHEN pair THEN 'confused' END,
-    CASE WHEN cat1 = 'software' THEN 'logic' END) AS reasons FROM s""",
-)
+    CASE WHEN cat1 = 'software' THEN 'logic' END) AS reasons, cat1, pair FROM s"""
+
+
+@query("w10_disputes", f"SELECT question_id, score, reasons FROM ({DISPUTES})")
 def w10(c):
     return C.dispute(c.labelled(A), CONFUSED, "software")
 

@@ -7,7 +7,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvizmill.session import load
+from kvizmill.session import cut, if_small, load
+
+#: Columns of questions that hold whole texts.
+LONG_COLUMNS = {"text", "comment"}
 
 
 class Corpus:
@@ -20,8 +23,19 @@ class Corpus:
         return load(self.spark, self.sf_dir, name)
 
     def question_columns(self, *columns: str) -> DataFrame:
-        """Some columns of the distinct questions; only these are read and shuffled."""
-        return self.table("questions").select("id", *columns).distinct()
+        """Some columns of the distinct questions; only these are read, and of texts only those are shuffled whose id comes again.
+
+        Repeated rows are few; so where texts are asked for, ids are counted
+        first, rows of an id that comes once pass as they are, and the others
+        are compared.
+        """
+        rows = self.table("questions").select("id", *columns)
+        if not LONG_COLUMNS.intersection(columns):
+            return rows.distinct()
+        again = self.table("questions").groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id")
+        again = if_small(cut(again))
+        once = rows.where("id IS NOT NULL").join(again, "id", "left_anti")
+        return once.unionByName(rows.where("id IS NULL").unionByName(rows.join(again, "id", "left_semi")).distinct())
 
     @cached_property
     def packs(self) -> DataFrame:

@@ -47,7 +47,8 @@ def x6(c):
     "x7_rejected_answers",
     f"""SELECT key, CASE WHEN key = '' THEN 'empty' WHEN regexp_full_match(key, '[^\\p{{L}}\\p{{N}}]+') THEN 'punctuation_only' WHEN key IN ({', '.join(f"'{a}'" for a in X.EMPTY_ANSWERS)}) THEN 'stop_answer'
     WHEN regexp_full_match(key, '\\d{{1,4}}([./:-]\\d{{1,4}})*|\\d+[,.]\\d+') OR key IN ('π', 'пи', 'pi') THEN NULL WHEN len(regexp_extract_all(key, '[а-яёa-z0-9]+')) = 0 THEN 'no_tokens'
-    WHEN len(regexp_extract_all(key, '[а-яёa-z0-9]+')) = 1 AND length(regexp_extract_all(key, '[а-яёa-z0-9]+')[1]) <= 1 THEN 'too_short_single_token' END AS reason FROM (SELECT DISTINCT key FROM {FRAG})""",
+    WHEN len(regexp_extract_all(key, '[а-яёa-z0-9]+')) = 1 AND length(regexp_extract_all(key, '[а-яёa-z0-9]+')[1]) <= 1 THEN 'too_short_single_token'
+    WHEN len(regexp_extract_all(key, '[а-яёa-z0-9]+')) = 1 AND regexp_extract_all(key, '[а-яёa-z0-9]+')[1] IN ({', '.join(f"'{a}'" for a in X.EMPTY_ANSWERS)}) THEN 'stop_single_token' END AS reason FROM (SELECT DISTINCT key FROM {FRAG})""",
 )
 def x7(c):
     return parts(c).select("key").distinct().withColumn("reason", X.low_info_reason(F.col("key")))
@@ -116,7 +117,7 @@ def a38_bigrams(c):
     return M.frequency(M.bigrams(c.question_columns("text")), "bigram", 3)
 
 
-@query("a39_names")
+@query("a39_names", f"SELECT name, count(*) AS count FROM (SELECT unnest(regexp_extract_all(text, '[а-яёa-z,] (\\p{{Lu}}\\p{{Ll}}+(?: \\p{{Lu}}\\p{{Ll}}+)*)', 1)) AS name FROM {Q} WHERE text IS NOT NULL) GROUP BY 1 HAVING count(*) >= 2")
 def a39(c):
     return M.entities(c.question_columns("text")).where(F.col("count") >= 2)
 

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from kvizmill.plans import browse, compare, ingest, mining, reports, shares, training  # noqa: E402, F401
+from kvizmill.plans import browse, catalogue, compare, ingest, mining, reports, shares, training  # noqa: E402, F401

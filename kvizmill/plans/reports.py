@@ -74,18 +74,12 @@ def j14(c):
     WHERE regexp_matches(lower(coalesce(q.text, '') || ' ' || coalesce(q.answer, '')), 'фреск|витраж|скульптор') AND q.id NOT IN (SELECT question_id FROM question_topics WHERE model_name = '{MODEL}')""",
 )
 def m13(c):
-    """The work queue of one model through the keyword rules, as a classifier would be plugged in."""
+    """The work queue of one model through a keyword rule; a model would be plugged in by ``labelled_by``."""
     done = c.topics.where(F.col("model_name") == MODEL).select(F.col("question_id").alias("id"))
     rows = c.question_columns("text", "answer").join(done, "id", "left_anti").select(F.col("id").alias("question_id"), "text", "answer")
-
-    def classify(frames):
-        for f in frames:
-            hit = (f["text"].fillna("") + " " + f["answer"].fillna("")).str.contains("фреск|витраж|скульптор", case=False)
-            out = f.loc[hit, ["question_id"]].copy()
-            out["cat"], out["sub"], out["conf"] = 5, 1, 0.7
-            yield out
-
-    return T.labelled_by(rows, classify, "question_id long, cat int, sub int, conf double", 0.4, c.dims)
+    hit = F.regexp_like(F.lower(F.concat_ws(" ", "text", "answer")), F.lit("фреск|витраж|скульптор"))
+    made = rows.where(hit).select("question_id", F.lit(5).alias("cat"), F.lit(1).alias("sub"), F.lit(0.7).alias("conf"))
+    return T.with_subcategory(made, 0.4, c.dims)
 
 
 @query("x30_topic_labels", f"SELECT s.id, c.name || ' → ' || s.name AS label FROM subcategories s JOIN categories c ON c.id = s.category_id UNION ALL SELECT 99, '?(99)'")

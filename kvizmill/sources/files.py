@@ -20,6 +20,14 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
     return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=parts)
 
 
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """``username, link`` of a text file of channels or feeds, one a line: names with or without @, or links; what follows # is a remark."""
+    line = F.trim(F.regexp_replace("value", r"\s*(?:^|\s)#.*$", ""))
+    name = F.regexp_extract(line, r"^(?:https?://)?(?:t\.me/(?:s/)?|@)?(\w+)/?$", 1)
+    lines = spark.read.text(path).select(line.alias("link"), F.nullif(name, F.lit("")).alias("username")).where("link <> ''")
+    return lines.select("username", "link").distinct()
+
+
 def read_markdown_questions(spark: SparkSession, path: str) -> DataFrame:
     """``path, number, id, body`` of Markdown files with blocks ``### 12. (#345)`` or numbered ``12. ...``."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.replace("value", F.lit("\r"), F.lit("")).alias("text"))

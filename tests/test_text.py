@@ -28,7 +28,7 @@ def test_answers_are_cleaned_and_split(spark, text, want):
     assert one(spark, text, lambda c: X.split_answer(X.clean_answer(c))) == want
 
 
-@pytest.mark.parametrize("key, want", [("", "empty"), ("?!", "punctuation_only"), ("да", "stop_answer"), ("42", None), ("π", None), ("x", "too_short_single_token"), ("слон", None)])
+@pytest.mark.parametrize("key, want", [("", "empty"), ("?!", "punctuation_only"), ("да", "stop_answer"), ("42", None), ("π", None), ("x", "stop_answer"), ("ж", "too_short_single_token"), ("слон", None)])
 def test_low_info(spark, key, want):
     assert one(spark, key, X.low_info_reason) == want
 
