@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvizmill.functions import text as X
+from kvizmill.session import cut
 
 #: Russian function words that carry no subject.
 STOP_WORDS = tuple(
@@ -173,28 +174,57 @@ def fill_by_passes(keys: DataFrame, passes: list[DataFrame]) -> DataFrame:
     return out.select("key", F.coalesce(*found, F.lit("uncategorized")).alias("category"), number.alias("pass"))
 
 
-def kept_facts(frame: pd.DataFrame, most: float = 0.6) -> pd.DataFrame:
-    """Facts of one group, in order of ``pos``, that overlap no kept one by more than ``most`` (Jaccard of words over two letters)."""
-    kept: list[set[str]] = []
-    rows = []
-    for row in frame.sort_values(["pos"]).itertuples(index=False):
-        mine = {w.strip(".,!?:;«»\"'()—–-").lower() for w in str(row.text).split()}
-        mine = {w for w in mine if len(w) > 2}
-        if mine and all(len(mine & k) / len(mine | k) <= most for k in kept):
-            kept.append(mine)
-            rows.append((row.grp, row.pos, row.text))
-    return pd.DataFrame(rows, columns=["grp", "pos", "text"])
+def fact_words(text: Column) -> Column:
+    """Different words over two letters, in lower case, without punctuation around them."""
+    stripped = F.transform(F.split(text, r"(?U)\s+"), lambda w: F.lower(F.btrim(w, F.lit(".,!?:;«»\"'()—–-"))))
+    return F.array_distinct(F.filter(stripped, lambda w: F.length(w) > 2))
 
 
-def drop_similar_facts(facts: DataFrame) -> DataFrame:
-    """Greedy removal of similar facts inside each ``grp``; sequential by its nature, so groups are the unit of work.
+def similar_facts(facts: DataFrame, most: float) -> DataFrame:
+    """``grp, a, b``: pairs of facts of one group, a before b, whose words overlap by more than ``most`` (Jaccard).
 
-    Copies are dropped first: a fact that is word for word an earlier one of
-    its group can't be kept.
+    Two such facts share one of the rarest words of each (prefix filter), so
+    facts meet over rare words only, and large groups are spread by them.
+    """
+    rows = facts.select("grp", "at", "words", F.size("words").alias("n"))
+    each = rows.select("grp", "at", "n", F.explode("words").alias("word"))
+    count = each.groupBy("grp", "word").agg(F.count("*").alias("_n"))
+    rare = F.transform(F.sort_array(F.collect_list(F.struct("_n", "word"))), lambda e: e["word"])
+    prefix = F.col("n") - F.floor(F.col("n") * F.lit(most) - 1e-9).cast("int")
+    ordered = each.join(count, ["grp", "word"]).groupBy("grp", "at", "n").agg(rare.alias("w"))
+    index = ordered.select("grp", "at", F.explode(F.slice("w", F.lit(1), prefix)).alias("word"))
+    one, other = index.withColumnRenamed("at", "a"), index.withColumnRenamed("at", "b")
+    met = one.join(other, ["grp", "word"]).where("a < b").select("grp", "a", "b").distinct()
+    words = rows.select("grp", "at", "words")
+    both = met.join(words.select("grp", F.col("at").alias("a"), F.col("words").alias("x")), ["grp", "a"])
+    both = both.join(words.select("grp", F.col("at").alias("b"), F.col("words").alias("y")), ["grp", "b"])
+    return both.where(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")) > most).select("grp", "a", "b")
+
+
+def drop_similar_facts(facts: DataFrame, most: float = 0.6) -> DataFrame:
+    """Facts (grp, pos, text) that overlap no earlier kept one of their group by more than ``most``, as if taken in order.
+
+    Copies are dropped first, facts without words are never kept. Then, in
+    rounds: a fact without an undecided earlier one like it is kept, and all
+    like it that come later are dropped. Ties of ``pos`` go by a hash of the
+    text. A round is a few joins of the pairs that are left, so that no task
+    holds a group.
     """
     first = Window.partitionBy("grp", F.xxhash64("text"), "text").orderBy("pos")
     once = facts.where("text IS NOT NULL").withColumn("_k", F.row_number().over(first)).where("_k = 1").select("grp", "pos", "text")
-    return once.groupBy("grp").applyInPandas(lambda f: kept_facts(f), "grp string, pos long, text string")
+    rows = cut(once.withColumn("words", fact_words(F.col("text"))).where(F.size("words") > 0).withColumn("at", F.struct("pos", F.xxhash64("text").alias("h"))))
+    edges = cut(similar_facts(rows, most))
+    dropped = []
+    while edges.limit(1).count():
+        kept = edges.select("grp", "a").distinct().join(edges.select("grp", F.col("b").alias("a")).distinct(), ["grp", "a"], "left_anti")
+        gone = cut(edges.join(kept, ["grp", "a"], "left_semi").select("grp", F.col("b").alias("at")).distinct())
+        dropped.append(gone)
+        edges = cut(
+            edges.join(gone.withColumnRenamed("at", "b"), ["grp", "b"], "left_anti").join(gone.withColumnRenamed("at", "a"), ["grp", "a"], "left_anti")
+        )
+    for gone in dropped:
+        rows = rows.join(gone, ["grp", "at"], "left_anti")
+    return rows.select("grp", "pos", "text")
 
 
 def chunk_segments(frame: pd.DataFrame, limit: int, carry: int) -> pd.DataFrame:

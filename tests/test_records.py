@@ -100,3 +100,26 @@ def test_repeated_texts_count_once(spark, sf_dir, tmp_path):
 def test_only_small_tables_are_broadcast(spark):
     plan = lambda df: spark.range(10).join(df.withColumnRenamed("id", "k"), F.col("id") == F.col("k"))._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(if_small(spark.range(5), 5)) and "broadcast" not in plan(if_small(spark.range(6), 5))
+
+
+def greedy(facts, most=0.6):
+    """Facts in order, each kept if it overlaps no kept one."""
+    kept, out, seen = {}, [], set()
+    for grp, pos, text in sorted((f for f in facts if f[2] is not None), key=lambda f: f[1]):
+        mine = {w for w in (w.strip(".,!?:;«»\"'()—–-").lower() for w in text.split()) if len(w) > 2}
+        if mine and (grp, text) not in seen and all(len(mine & k) / len(mine | k) <= most for k in kept.get(grp, [])):
+            kept.setdefault(grp, []).append(mine)
+            out.append((grp, pos, text))
+        seen.add((grp, text))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_similar_facts_by_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = [f"слово{k}" for k in range(14)]
+    facts = [("hot" if rng.random() < 0.6 else f"g{rng.randrange(4)}", i, " ".join(rng.sample(words, rng.randrange(1, 8))) + rng.choice(["", "!", " «и»"])) for i in range(150)]
+    facts += [("hot", 900, None), ("hot", 901, ""), ("hot", 902, "и а"), ("hot", 903, facts[0][2])]
+    df = spark.createDataFrame(facts, "grp string, pos long, text string")
+    assert sorted(map(tuple, M.drop_similar_facts(df).collect())) == greedy(facts)
+    assert M.drop_similar_facts(df.where("false")).count() == 0
