@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,14 @@ from kvizmill.llm.bytebpe import default_vocabulary, encoder
 BATCH_IDS = 2_000_000
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, sizes_only: bool) -> Iterator[pa.RecordBatch]:
-    bpe = encoder(path)
+def shipped(docs: DataFrame, path: str) -> str:
+    """The name under which a vocabulary file of the driver goes with the job to every executor."""
+    docs.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def _encode(batches: Iterator[pa.RecordBatch], name: str, sizes_only: bool) -> Iterator[pa.RecordBatch]:
+    bpe = encoder(SparkFiles.get(name))
 
     def batch(keys: list, ids: list[bytes]) -> pa.RecordBatch:
         sizes = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
@@ -49,15 +57,15 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     as often as it came in, and a null ``doc_id`` stays null. No shuffle: each
     partition is encoded where it is read.
     """
-    path = vocabulary or default_vocabulary()
+    name = shipped(docs, vocabulary or default_vocabulary())
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        lambda batches: _encode(batches, path, False), "doc_id long, ids array<int>"
+        lambda batches: _encode(batches, name, False), "doc_id long, ids array<int>"
     )
 
 
 def document_sizes(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, size``: the number of ids ``encode_documents`` gives, without the ids."""
-    path = vocabulary or default_vocabulary()
+    name = shipped(docs, vocabulary or default_vocabulary())
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        lambda batches: _encode(batches, path, True), "doc_id long, size long"
+        lambda batches: _encode(batches, name, True), "doc_id long, size long"
     )
