@@ -512,7 +512,7 @@ def link_names(names: DataFrame, top: int | None = TOP) -> DataFrame:
     were counted before, and are linked in time of their pairs, of which a key
     has about ``top``.
     """
-    uses = names.where(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("uses"))
+    uses = cut(names.where(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("uses")))
     parsed = cut(uses.select("name").mapInPandas(_parse_all, _PARSED).join(uses, "name"))
     vectors = cut(key_vectors(parsed))
     # Two groups are joined only if some pair of their names reaches LINKAGE, as an average is no more
