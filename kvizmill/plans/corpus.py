@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvizmill.session import cut, if_small, load
+from kvizmill.session import cut, if_small, load, spread
 
 #: Columns of questions that hold whole texts.
 LONG_COLUMNS = {"text", "comment"}
@@ -34,7 +34,7 @@ class Corpus:
             return rows.distinct()
         again = self.table("questions").groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id")
         again = if_small(cut(again))
-        once = rows.where("id IS NOT NULL").join(again, "id", "left_anti")
+        once = spread(rows.where("id IS NOT NULL")).join(again, "id", "left_anti")
         return once.unionByName(rows.where("id IS NULL").unionByName(rows.join(again, "id", "left_semi")).distinct())
 
     @cached_property

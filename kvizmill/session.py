@@ -82,3 +82,13 @@ def if_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     or cheap.
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over more tasks where its input has fewer splits than there are cores, up to eight for each split.
+
+    Only inputs of few files or row groups are shuffled for it; one with as
+    many splits as there are cores is left as it is.
+    """
+    splits, cores = df._jdf.queryExecution().toRdd().getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(cores, 8 * splits)) if 0 < splits < cores else df
