@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvizmill.llm.bytebpe import default_vocabulary, encoder
+from kvizmill.session import spread
 
 #: Ids in one batch handed back to Spark, so that long documents don't add up in memory.
 BATCH_IDS = 2_000_000
@@ -54,11 +55,11 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     Needs ``doc_id`` and ``text``; other columns are left behind, whatever they
     are called. A null, empty or missing text has an empty list, never null; a
     text of white space has the ids of the white space. A repeated row comes out
-    as often as it came in, and a null ``doc_id`` stays null. No shuffle: each
-    partition is encoded where it is read.
+    as often as it came in, and a null ``doc_id`` stays null. Each partition is
+    encoded where it is read, but for inputs of fewer splits than cores.
     """
     name = shipped(docs, vocabulary or default_vocabulary())
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(
         lambda batches: _encode(batches, name, False), "doc_id long, ids array<int>"
     )
 
@@ -66,6 +67,6 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
 def document_sizes(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, size``: the number of ids ``encode_documents`` gives, without the ids."""
     name = shipped(docs, vocabulary or default_vocabulary())
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(
         lambda batches: _encode(batches, name, True), "doc_id long, size long"
     )

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvizmill.llm.sampling import bounded_sample
+from kvizmill.session import spread
 
 #: The languages told apart.
 LANGUAGES = ("ru", "uk", "en", "de", "fr", "es")
@@ -333,7 +334,7 @@ def identify(docs: DataFrame, fitted: np.ndarray | None = None) -> DataFrame:
         sample = training_rows(docs).collect()
         fitted = fit([r.text for r in sample], [r.code for r in sample])
     table = spark.sparkContext.broadcast(fitted)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), label_code(F.col("lang")).alias("label")).mapInArrow(
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), label_code(F.col("lang")).alias("label"))).mapInArrow(
         lambda batches: _identify(batches, table),
         "doc_id long, label string, main string, confidence double, languages array<string>,"
         " segments array<struct<lang: string, end: int, confidence: double>>",

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from kvizmill.llm.bitslice import close_pairs
 from kvizmill.llm.names import LOOKALIKES, one_edit
-from kvizmill.session import cut, keep
+from kvizmill.session import cut, keep, spread
 
 #: Least share of words as a fraction, and bits of a bitmap.
 SHARE, BITS = (3, 5), 256
@@ -263,8 +263,7 @@ def _units(texts: DataFrame, most: int) -> DataFrame:
 def _classes(questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, members, texts) by ``tid``, the number of a text: its words and its answer."""
     rows = keep(
-        questions.where(F.col("id").isNotNull())
-        .select(F.col("id").cast("long"), F.col("text").cast("string"), F.col("answer").cast("string"))
+        spread(questions.where(F.col("id").isNotNull()).select(F.col("id").cast("long"), F.col("text").cast("string"), F.col("answer").cast("string")))
         .mapInArrow(_prepare, "id long, answer string, words array<int>, size int, bitmap binary, text_key binary")
         .where("size > 0")
     )

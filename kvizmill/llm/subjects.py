@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from kvizmill.llm.names import LOOKALIKES, one_edit
 from kvizmill.llm.sampling import bounded_sample
+from kvizmill.session import spread
 
 #: Rules are mined from at most so many labelled posts, and calibrated on one in so many of them that are held out.
 TRAIN_ROWS, HELD_OUT = 22_000, 11
@@ -356,6 +357,6 @@ def subject_areas(posts: DataFrame, examples: DataFrame, categories: DataFrame,
     broadcast: their number is bounded by the sample they come from.
     """
     shared = posts.sparkSession.sparkContext.broadcast(model or fit(posts, examples, categories))
-    return posts.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    return spread(posts.select(F.col("id").cast("long"), F.col("text").cast("string"))).mapInArrow(
         lambda bs: _assign(bs, shared), "id long, category string, confidence double"
     )
