@@ -130,3 +130,9 @@ def a47(c):
 @query("x14_view_counts", "SELECT id, greatest(coalesce(views, 0), 0) AS views FROM tg_posts")
 def x14(c):
     return c.posts.select("id", X.view_count(F.col("views").cast("string")).alias("views"))
+
+
+@query("x14_labels_read", "SELECT id, CASE WHEN views >= 1000000 THEN views // 100000 * 100000 WHEN views >= 1000 THEN views // 100 * 100 ELSE greatest(views, 0) END AS views FROM tg_posts WHERE views IS NOT NULL")
+def x14_labels(c):
+    """Views from labels like 1.2K."""
+    return c.posts.where("views IS NOT NULL").select("id", X.view_count(X.view_label(F.col("views"))).alias("views"))

@@ -133,3 +133,45 @@ def x20(c):
     q = F.to_json(F.struct(F.array(F.struct("id", "number", "text", "answer")).alias("questions")))
     pages = c.question_columns("number", "text", "answer").select(F.col("id").alias("page_id"), F.concat(F.lit("<script>data = "), q, F.lit("</script>")).alias("html"))
     return H.embedded_questions(pages)
+
+
+DAY = "DATE '2020-01-01' + (id % 900)::INT"
+
+
+@query(
+    "x21_page_metadata",
+    f"""SELECT id AS page_id, nullif(trim(regexp_replace(replace(replace(replace(title, '"', ''), '<', ''), chr(92), ''), '\\s+', ' ', 'g')), '') AS title, question_count, CASE WHEN id % 3 = 0 THEN NULL ELSE {DAY} END AS start_date,
+    CASE WHEN id % 3 = 2 THEN {DAY} END AS end_date, {DAY} AS published_date, teams_played::BIGINT AS teams_played, round(difficulty, 2) AS difficulty FROM {P} WHERE title IS NOT NULL AND question_count >= 0 AND teams_played >= 0 AND difficulty >= 0""",
+)
+def x21(c):
+    """Pages in three forms: with labels alone, with embedded JSON, and with both."""
+    p = c.packs.where("title IS NOT NULL AND question_count >= 0 AND teams_played >= 0 AND difficulty >= 0")
+    title = F.trim(F.regexp_replace(F.regexp_replace("title", r'["<\\\\]', ""), r"\s+", " "))
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 900).cast("int"))
+    dotted, form = F.date_format(day, "dd.MM.yyyy"), F.col("id") % 3
+    fields = F.format_string('{"packTitle":"%s","pubDate":"%sT10:00:00","startDate":"%s"}', title, day.cast("string"), day.cast("string"))
+    pushed = F.concat(F.lit('<script>self.push([1,"'), F.replace(fields, F.lit('"'), F.lit('\\"')), F.lit('"])</script>'))
+    label = lambda k, v: F.concat(F.lit(f"<dt>{k}</dt><dd>"), v.cast("string"), F.lit("</dd>"))
+    html = F.concat(
+        F.when(form != 0, pushed).otherwise(F.concat(F.lit("<h1 class='a'>"), title, F.lit("</h1>"))),
+        F.lit("<dl>"), label("Вопросов:", F.col("question_count")), label("Команд:", F.col("teams_played")), label("Сложность", F.col("difficulty")),
+        F.when(form == 0, label("Опубликован", dotted)).otherwise(""), F.when(form == 2, label("Окончание", dotted)).otherwise(""), F.lit("</dl>"),
+    )
+    return H.page_metadata(p.select(F.col("id").alias("page_id"), html.alias("html")))
+
+
+@query(
+    "x23_archive_questions",
+    f"""SELECT id AS page_id, number::BIGINT AS number, text, answer, authors, DATE '2020-01-01' + (id % 900)::INT AS played FROM (SELECT id, number, trim(regexp_replace(text, '[\s]+', ' ', 'g')) AS text,
+    nullif(trim(regexp_replace(answer, '[\s]+', ' ', 'g')), '') AS answer, NULL::VARCHAR AS authors FROM {Q} WHERE regexp_full_match(text, '[ -~а-яА-ЯёЁ«»—]+') AND regexp_full_match(answer, '[ -~а-яА-ЯёЁ«»—]+')) WHERE text <> ''""",
+)
+def x23(c):
+    """Questions written as an archive shows them, and read back; those of plain letters, as other spaces are no spaces to SQL."""
+    simple = F.lit("^[ -~а-яА-ЯёЁ«»—]+\\z")
+    q = c.question_columns("number", "text", "answer").where(F.regexp_like("text", simple) & F.regexp_like("answer", simple))
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 900).cast("int")).cast("string")
+    field = lambda mark, value: F.concat(F.lit(f'<p><strong class="{mark}">'), F.lit(f"{mark}:</strong> "), X.escape_html(value), F.lit("</p>"))
+    number = F.concat(F.lit('<p><strong class="Question"><a href="/question/x">'), F.concat(F.lit("Вопрос "), F.coalesce(F.col("number").cast("string"), F.lit(""))), F.lit("</a></strong>"), X.escape_html(F.col("text")), F.lit("</p>"))
+    html = F.concat(F.lit('<dl><dt class="title"><a href="/t">Кубок '), day, F.lit('</a></dt><dd><div class="question">'), number, field("Answer", F.col("answer")), F.lit("<p>без поля</p></div></dd></dl>"))
+    found = H.archive_questions(q.select(F.col("id").alias("page_id"), html.alias("html")))
+    return found.select("page_id", "number", "text", "answer", "authors", "played")

@@ -123,3 +123,23 @@ def test_similar_facts_by_brute_force(spark, seed):
     df = spark.createDataFrame(facts, "grp string, pos long, text string")
     assert sorted(map(tuple, M.drop_similar_facts(df).collect())) == greedy(facts)
     assert M.drop_similar_facts(df.where("false")).count() == 0
+
+
+def test_pages_that_lack_or_break_things(spark):
+    from kvizmill.functions import pages as H
+
+    html = [
+        None, "", "<p>нет ничего", '<h1>Кубок <b>А</b></h1><table><tr><td>Команд</td><td>12 + 5</td></tr><tr><td>Сложность:</td><td>3,5 / 4</td></tr><tr><td>Начало</td><td>12 мая 2024 г.</td></tr></table>',
+        'push([1,"{\\"packTitle\\":\\"Б\\",\\"pubDate\\":\\"2024-13-40\\"}"])<dt>Опубликован</dt><dd>01.02.2024</dd>',
+    ]
+    df = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    got = {r.page_id: r for r in H.page_metadata(df).collect()}
+    assert all(got[i].title is None and got[i].teams_played is None and got[i].start_date is None for i in (0, 1, 2))
+    assert (got[3].title, got[3].teams_played, got[3].difficulty, str(got[3].start_date)) == ("Кубок А", 17, 3.75, "2024-05-12")
+    assert (got[4].title, str(got[4].published_date)) == ("Б", "2024-02-01")
+    one = '<dt class="title">Кубок 2020-02-03 <a href="/t">x</a></dt><div class="question"><p><strong class="Question"><a href="/question/9">Вопрос 7:</a></strong> Кто <div>там</div>?</p>'
+    html = [None, "<div class='question'><p>нет</p></div>", one, one + '<p><strong class="Answer">Ответ:</strong> <p><strong class="Other">x</strong>y</p></div>' + one.replace("Кто", "Где")]
+    found = H.archive_questions(spark.createDataFrame(list(enumerate(html)), "page_id long, html string")).collect()
+    assert sorted((r.page_id, r.pos, r.number, r.text, r.answer, str(r.played)) for r in found) == [
+        (2, 0, 7, "Кто там ?", None, "2020-02-03"), (3, 0, 7, "Кто там ?", None, "2020-02-03"), (3, 1, 7, "Где там ?", None, "2020-02-03"),
+    ]
