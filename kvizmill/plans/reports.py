@@ -162,8 +162,8 @@ def x21(c):
 
 @query(
     "x23_archive_questions",
-    f"""SELECT id AS page_id, number::BIGINT AS number, text, answer, authors, DATE '2020-01-01' + (id % 900)::INT AS played FROM (SELECT id, number, trim(regexp_replace(text, '[\s]+', ' ', 'g')) AS text,
-    nullif(trim(regexp_replace(answer, '[\s]+', ' ', 'g')), '') AS answer, NULL::VARCHAR AS authors FROM {Q} WHERE regexp_full_match(text, '[ -~а-яА-ЯёЁ«»—]+') AND regexp_full_match(answer, '[ -~а-яА-ЯёЁ«»—]+')) WHERE text <> ''""",
+    f"""SELECT id AS page_id, number::BIGINT AS number, text, answer, authors, DATE '2020-01-01' + (id % 900)::INT AS played FROM (SELECT id, number, trim(regexp_replace(text, '[\\s]+', ' ', 'g')) AS text,
+    nullif(trim(regexp_replace(answer, '[\\s]+', ' ', 'g')), '') AS answer, NULL::VARCHAR AS authors FROM {Q} WHERE regexp_full_match(text, '[ -~а-яА-ЯёЁ«»—]+') AND regexp_full_match(answer, '[ -~а-яА-ЯёЁ«»—]+')) WHERE text <> ''""",
 )
 def x23(c):
     """Questions written as an archive shows them, and read back; those of plain letters, as other spaces are no spaces to SQL."""
