@@ -41,18 +41,18 @@ FROM_LATIN = (
 #: Given names with their short forms.
 GIVEN_NAMES = {
     "Александр": "Саша Саня Шура Алекс", "Александра": "Саша Шура", "Алексей": "Лёша Алёша", "Алёна": "", "Алина": "", "Алла": "",
-    "Анастасия": "Настя Ася", "Анатолий": "Толя", "Андрей": "Андрюша", "Анна": "Аня Нюра", "Антон": "Тоша", "Арсений": "Сеня", "Артём": "Тёма",
+    "Анастасия": "Настя Ася", "Анатолий": "Толя", "Андрей": "Андрюша", "Анна": "Аня Анюта Нюра", "Антон": "Тоша", "Арсений": "Сеня", "Артём": "Тёма",
     "Богдан": "", "Борис": "Боря", "Вадим": "Вадик", "Валентин": "Валя", "Валентина": "Валя", "Валерий": "Валера", "Варвара": "Варя",
     "Василий": "Вася", "Вера": "", "Вероника": "Ника", "Виктор": "Витя", "Виктория": "Вика", "Виталий": "Виталик", "Владимир": "Вова Володя",
     "Владислав": "Влад Слава", "Вячеслав": "Слава", "Галина": "Галя", "Геннадий": "Гена", "Георгий": "Гоша Жора", "Глеб": "", "Григорий": "Гриша",
-    "Даниил": "Даня", "Дарья": "Даша", "Денис": "", "Дмитрий": "Дима Митя", "Евгений": "Женя", "Евгения": "Женя", "Егор": "",
+    "Даниил": "Даня Данила", "Дарья": "Даша", "Денис": "", "Дмитрий": "Дима Митя", "Евгений": "Женя", "Евгения": "Женя", "Егор": "",
     "Екатерина": "Катя", "Елена": "Лена", "Елизавета": "Лиза", "Ефим": "Фима", "Захар": "", "Зинаида": "Зина", "Зоя": "", "Иван": "Ваня",
     "Игорь": "", "Илья": "Илюша", "Инна": "", "Ирина": "Ира", "Кирилл": "", "Клавдия": "Клава", "Константин": "Костя", "Ксения": "Ксюша",
-    "Лариса": "Лара", "Лев": "Лёва", "Леонид": "Лёня", "Лидия": "Лида", "Любовь": "Люба", "Людмила": "Люда Мила", "Максим": "Макс",
-    "Маргарита": "Рита", "Марина": "", "Мария": "Маша", "Матвей": "", "Михаил": "Миша", "Надежда": "Надя", "Наталья": "Наташа", "Никита": "",
+    "Лариса": "Лара", "Лев": "Лёва", "Леонид": "Лёня", "Лидия": "Лида", "Любовь": "Люба", "Людмила": "Люда Люся Мила", "Максим": "Макс",
+    "Маргарита": "Рита", "Марина": "", "Мария": "Маша Маруся", "Матвей": "", "Михаил": "Миша", "Надежда": "Надя", "Наталья": "Наташа", "Никита": "",
     "Николай": "Коля", "Нина": "", "Оксана": "", "Олег": "", "Ольга": "Оля", "Павел": "Паша", "Пётр": "Петя", "Полина": "Поля", "Раиса": "Рая",
-    "Роман": "Рома", "Светлана": "Света", "Семён": "Сеня", "Сергей": "Серёжа", "София": "Соня", "Станислав": "Стас Слава", "Степан": "Стёпа",
-    "Тамара": "Тома", "Тарас": "", "Татьяна": "Таня", "Тимофей": "Тима", "Тимур": "", "Фёдор": "Федя", "Эдуард": "Эдик", "Юлия": "Юля",
+    "Роман": "Рома", "Светлана": "Света", "Семён": "Сеня Сёма", "Сергей": "Серёжа", "София": "Соня", "Станислав": "Стас Слава", "Степан": "Стёпа",
+    "Тамара": "Тома", "Тарас": "", "Татьяна": "Таня", "Тимофей": "Тима Тимоша", "Тимур": "", "Фёдор": "Федя", "Эдуард": "Эдик", "Юлия": "Юля",
     "Юрий": "Юра", "Яков": "Яша", "Яна": "", "Ярослав": "Слава",
 }
 

@@ -42,6 +42,7 @@ PEOPLE = [
     ["Григорий Толвекский", "Г.Толвекский", "Гриша Толвекский", "Толвекский Григорий Максимович"],
     ["Галина Толвекская", "Галя Толвекская"],
     ["Борис Ким"],
+    ["Семён Закнувагаев", "Сёма Закнувагаев"], ["Артём Закнувагаев", "Тёма Закнувагаев"],
     ["Эдуард Рехрехаев", "Э. Рехрехаев", "Eduard Rekhrekhaev"],
     ["Евгений Рехрехаев", "Е. Рехрехаев", "Женя Рехрехаев"],
 ]
