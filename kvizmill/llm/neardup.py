@@ -176,12 +176,17 @@ def _typos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _visits(answers: DataFrame) -> DataFrame:
-    """``grp, to``: the answer with fewer texts visits the group of each one that is a typo away."""
+    """``grp, to``: the texts of an answer visit the group of each one that is a typo away, unless it has less than half as many.
+
+    So one of two visits the other, and both do where their numbers are alike:
+    which of them is the one without typos can't be seen, and two typos of it
+    have to meet there. A frequent answer doesn't visit its rare neighbours.
+    """
     variant = cut(answers.select("grp", "answer", "n").mapInArrow(_variants, "grp long, n long, v long"))
     other = variant.select(F.col("grp").alias("to"), F.col("n").alias("m"), "v")
     near = (
         variant.join(other, "v")
-        .where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("grp") < F.col("to"))))
+        .where((F.col("grp") != F.col("to")) & (F.col("n") <= 2 * F.col("m")))
         .select("grp", "to")
         .distinct()
     )
@@ -296,7 +301,8 @@ def near_duplicates(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     have one ``tid``, and ``rep`` is the smallest of their ids. links: ``a, b``,
     pairs a < b of different ``rep``s whose texts share three fifths of their
     words, with the same answer. Answers are the same if their keys are equal
-    or one typo apart, or both one typo from a third answer that has more texts.
+    or one typo apart, or both one typo from a third answer that has at least
+    half as many texts as each.
     Rows without an id are left out; null texts and answers count as empty, and
     a text without words resembles no other. An id with several texts is a
     member of several classes, and stands in ``links`` for each it represents.

@@ -116,6 +116,13 @@ def test_long_answers_are_compared(spark):
     assert {tuple(r) for r in N.repeated_questions(df).collect()} == {(3, 4), (3, 5), (4, 5), (7, 8)}
 
 
+def test_two_typos_of_one_answer(spark):
+    """They meet at the answer itself, also where it has no more texts than they."""
+    text, answers = "одно и то же слово здесь", ["розпефу", "ропефу", "розпфеу", "рзпефу"]
+    df = spark.createDataFrame([(i, f"{text} раз{i}", a) for i, a in enumerate(answers)], "id long, text string, answer string")
+    assert N.repeated_questions(df).count() == 6
+
+
 def test_an_id_with_two_texts(spark):
     one, two = "первый вопрос о старом море и ветре", "совсем другие слова про новый город"
     df = spark.createDataFrame([(1, one, "да"), (1, two, "да"), (2, one, "да"), (3, two, "да")], "id long, text string, answer string")
