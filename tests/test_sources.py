@@ -1,7 +1,10 @@
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from kvizmill.sources import files
-from kvizmill.streaming.leitner import leitner_stream
+from kvizmill.streaming.leitner import leitner_stream, step
 from kvizmill.streaming.posts import window_counts
 from kvizmill.streaming.runs import drained, stream_table
 
@@ -42,6 +45,30 @@ def test_streams_over_several_files(spark, tmp_path):
     assert states[0] == states[1] and len(states[0]) == 6
 
 
+class Kept:
+    exists = False
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_one_call_folds_all_questions_of_a_user():
+    """Each question as by itself, over batches with late and repeated attempts, in frames of a few rows."""
+    r, state, plain, sizes = random.Random(5), Kept(), {}, []
+    for batch in range(8):
+        rows = [(r.randrange(40), 10 * batch + r.randrange(25), r.randrange(3), r.random() < 0.7) for _ in range(60)]
+        df = pd.DataFrame(rows, columns=["question_id", "at", "id", "knew"]).drop_duplicates(["question_id", "at", "id"])
+        df = pd.concat([df, df.iloc[:5]])
+        got = pd.concat(step((7,), iter([df.iloc[:9], df.iloc[9:]]), state))
+        for q, at, i, knew in sorted(df.itertuples(index=False)):
+            streak, *last = plain.setdefault(q, (0, -1, -1))
+            if [at, i] > last:
+                plain[q] = (streak + 1 if knew else 0, at, i)
+        assert sorted(got.itertuples(index=False, name=None)) == [(7, q, *plain[q]) for q in sorted(set(df["question_id"]))]
+        sizes.append(len(state.get[0]))
+    assert sizes == sorted(sizes) and sizes[-1] == len(plain)
+
+
 def test_empty_stream(spark, tmp_path):
     schema = "channel_id long, created_at timestamp, views long"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/posts.parquet")
