@@ -427,7 +427,8 @@ def key_vectors(keys: DataFrame) -> DataFrame:
     grams = F.array_except(F.array_distinct(F.flatten(F.transform(F.split("key", " "), of_word))), F.array(F.lit("1^"), F.lit("1$")))
     each = once.select("key", F.explode(grams).alias("gram"))
     df = each.groupBy("gram").agg(F.count("*").alias("df"))
-    weighed = each.join(df, "gram").withColumn("w", F.log1p(F.lit(float(once.count())) / F.col("df")))
+    # Spark takes the exploded n-grams for no larger than the keys and would collect all of them on the driver to broadcast them.
+    weighed = each.join(df.hint("merge"), "gram").withColumn("w", F.log1p(F.lit(float(once.count())) / F.col("df")))
     entry = F.struct((-F.col("w")).alias("rare"), "gram", "w")
     return (
         weighed.groupBy("key")

@@ -142,6 +142,15 @@ def test_top_n(spark):
     assert len(whole & part) >= 0.9 * len(whole)
 
 
+def test_ngrams_stay_off_the_driver(spark):
+    """However small the keys are, their n-grams aren't broadcast: these grow with the keys, a hundred bytes for each letter."""
+    r = random.Random(4)
+    keys = {"".join(r.choices("абвгдежзиклмнопрст", k=9)) for _ in range(500)}
+    vectors = key_vectors(spark.createDataFrame([(k,) for k in keys], "key string"))
+    assert {x.key for x in vectors.collect()} == keys
+    assert "Broadcast" not in vectors._jdf.queryExecution().executedPlan().toString()
+
+
 def linked_pairs_of(names, top):
     groups: dict = {}
     for r in link_names(names, top).collect():
